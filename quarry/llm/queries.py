@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op3_mix_sources
 from .token_output import op5_token_output
+from .warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mix_sources": op3_mix_sources,
         "op5_token_output": op5_token_output,
+        "op7_warc": op7_warc,
     }
 
 
