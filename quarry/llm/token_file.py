@@ -78,7 +78,8 @@ class _Model:
         cut[:, 0] = 0
         np.cumsum(count, axis=1, dtype=np.int32, out=cut[:, 1:])
         scale = ((_ONE - k) / cut[:, -1]).astype(np.float32)
-        np.floor(cut * scale[:, None], out=cut, casting="unsafe")
+        for at in range(0, len(cut), 4096):  # a few rows at a time, for the cache
+            np.multiply(cut[at : at + 4096], scale[at : at + 4096, None], out=cut[at : at + 4096], casting="unsafe")
         cut += np.arange(k + 1, dtype=np.int32)
         cut[:, -1] = _ONE
         return cut
@@ -188,7 +189,7 @@ def encode_blocks(ids: np.ndarray, cuts: np.ndarray, n_ids: int) -> list[bytes]:
     """Payload of each block ids[cuts[i]:cuts[i + 1]]."""
     order, lengths = _by_length(np.diff(cuts))
     lanes, longest = len(order), int(lengths[0]) if len(order) else 0
-    grid = np.zeros((lanes, longest), np.int64)
+    grid = np.zeros((lanes, longest), np.int32)
     for lane, (block, n) in enumerate(zip(order, lengths)):
         grid[lane, :n] = ids[cuts[block] : cuts[block] + n]
     grid = np.ascontiguousarray(grid.T)
@@ -196,7 +197,7 @@ def encode_blocks(ids: np.ndarray, cuts: np.ndarray, n_ids: int) -> list[bytes]:
     b = a = np.zeros(lanes, np.int64)
     for step in range(longest):
         n = int(np.searchsorted(-lengths, -step, "left"))
-        x, a, b, all_n = grid[step, :n], a[:n], b[:n], slice(0, n)
+        x, a, b, all_n = grid[step, :n].astype(np.int64), a[:n], b[:n], slice(0, n)
         p2, p1, c1, c2 = model.predict(a, b, n)
         way = np.where(p2 == x, 0, np.where(p1 == x, 1, 2))
         cum = np.where(way == 0, 0, np.where(way == 1, c1, c2))
@@ -242,7 +243,7 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, n_ids: int) -> np.
     parts = [payloads[i] for i in order]
     starts = np.cumsum([0, *[len(p) // 4 + 2 for p in parts]])[:-1].astype(np.int64)
     words = np.frombuffer(b"".join(p + bytes(8) for p in parts), "<u4").astype(np.uint64)
-    grid = np.zeros((longest, lanes), np.int64)
+    grid = np.zeros((longest, lanes), np.int32)
     if not lanes:
         return np.zeros(0, np.int64)
     model, coder = _Model(lanes, n_ids), _Decoder(words, starts)

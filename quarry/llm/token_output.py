@@ -16,10 +16,10 @@ from .token_file import frame_index, read_frames, write_frames
 #: Characters of text that one file is meant to hold.
 FILE_CHARS = 32 << 20
 #: Ids of a frame (a frame ends with the document that reaches it) and of the frames coded together.
-FRAME_IDS = 1 << 20
-TOGETHER_IDS = 8 << 20
+FRAME_IDS = 1 << 19
+TOGETHER_IDS = 3 << 20
 #: Words that a worker keeps encoded.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 
 
 class WordEncoder:
