@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cross_polytope import op9_near_vectors
+from .forest import op1_nearest
 from .mixing import op3_mix_sources
 from .token_output import op5_token_output
 from .warc import op7_warc
@@ -13,9 +15,11 @@ from .warc import op7_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest": op1_nearest,
         "op3_mix_sources": op3_mix_sources,
         "op5_token_output": op5_token_output,
         "op7_warc": op7_warc,
+        "op9_near_vectors": op9_near_vectors,
     }
 
 
