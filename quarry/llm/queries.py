@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op10_bpe
 from .cross_polytope import op9_near_vectors
 from .forest import op1_nearest
 from .mixing import op3_mix_sources
+from .substring import op8_drop_earlier_windows
 from .token_output import op5_token_output
 from .warc import op7_warc
 
@@ -19,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": op3_mix_sources,
         "op5_token_output": op5_token_output,
         "op7_warc": op7_warc,
+        "op8_drop_earlier_windows": op8_drop_earlier_windows,
         "op9_near_vectors": op9_near_vectors,
+        "op10_bpe": op10_bpe,
     }
 
 
