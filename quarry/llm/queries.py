@@ -11,6 +11,7 @@ from .cross_polytope import op9_near_vectors
 from .forest import op1_nearest
 from .mixing import op3_mix_sources
 from .quality import op4_quality
+from .shingle_join import op2_shingle_join
 from .substring import op8_drop_earlier_windows
 from .token_output import op5_token_output
 from .warc import op7_warc
@@ -19,6 +20,7 @@ from .warc import op7_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest": op1_nearest,
+        "op2_shingle_join": op2_shingle_join,
         "op3_mix_sources": op3_mix_sources,
         "op4_quality": op4_quality,
         "op5_token_output": op5_token_output,
