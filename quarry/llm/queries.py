@@ -13,6 +13,7 @@ from .mixing import op3_mix_sources
 from .quality import op4_quality
 from .shingle_join import op2_shingle_join
 from .substring import op8_drop_earlier_windows
+from .suffix_dedup import op6_suffix_dedup
 from .token_output import op5_token_output
 from .warc import op7_warc
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": op3_mix_sources,
         "op4_quality": op4_quality,
         "op5_token_output": op5_token_output,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_warc": op7_warc,
         "op8_drop_earlier_windows": op8_drop_earlier_windows,
         "op9_near_vectors": op9_near_vectors,
