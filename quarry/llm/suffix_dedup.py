@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .bwt import build
 from .common import bounded_batches, mix, powers, signed, slices, stored, table, utf8
@@ -271,23 +272,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_m
     return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") - 1).alias("b"))).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_most: int = GROUP_MOST, rest: bool = True) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_most: int = GROUP_MOST, rest: bool = True, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte of ``docs`` (doc_id, text) that a ``window``-byte string covers which starts elsewhere too.
 
     "Elsewhere" is any other place, also in the same document; windows are judged on the input
     and do not cross documents.  Returns doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs), kept_sha256 and, with ``rest``, the remaining bytes.  Null text is
+    removed runs), kept_sha256 and, with ``rest``, the remaining bytes or, with ``as_text``,
+    their text, without characters that lost a byte.  Null text is
     empty; texts shorter than a window keep all.  Each row counts as a document of
-    its own, also if it repeats another; a null doc_id is one like others.  Other columns are ignored.
+    its own, also if it repeats another; a null doc_id is one like others.  Of the other columns those named in ``carry`` come along.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    spans = stored(repeats(docs, window, symbol, group_most), "spans")
-    touched, whole = split_by_filter(docs, "key", key_filter(spans, "key"))
-    same = touched.doc_id.eqNullSafe(spans.doc_id) & (touched.key == spans.key)
-    told = touched.join(spans, same, "left").select(touched.doc_id, "text", "spans")
-    told = told.unionByName(whole.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", rest binary" * rest
+    carried = [docs.schema[c] for c in carry]
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), "text", *carry)
+    keyed = docs.select("doc_id", F.col("_key").alias("key"), "text")
+    spans = stored(repeats(keyed, window, symbol, group_most), "spans")
+    touched, whole = split_by_filter(docs, "_key", key_filter(spans, "key"))
+    same = touched.doc_id.eqNullSafe(spans.doc_id) & (touched._key == spans.key)
+    told = touched.join(spans, same, "left").select(touched.doc_id, "text", "spans", *carry)
+    told = told.unionByName(whole.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), *carry))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"][: 5 + rest]
+    schema = StructType([*(StructField(n, t) for n, t in zip(names, (LongType(),) * 4 + (StringType(), StringType() if as_text else BinaryType()))), *carried])
 
     def run(batches):
         for batch in batches:
@@ -307,10 +312,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, gr
                     first, end = first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
                     removed, spans_ = int((end - first).sum()), len(first)
                     text = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*first.tolist(), len(text)]))
-                out.append((off[i + 1] - off[i], removed, spans_, hashlib.sha256(text).hexdigest(), text))
+                out.append((off[i + 1] - off[i], removed, spans_, hashlib.sha256(text).hexdigest(), text.decode(errors="ignore") if as_text else text))
             cols = list(zip(*out)) if out else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols[: 4 + rest], types))], [p.split()[0] for p in schema.split(", ")])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols[: 4 + rest], types)), *batch.columns[3:]], [*names, *carry])
 
     return told.mapInArrow(run, schema)
 
