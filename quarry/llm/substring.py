@@ -15,22 +15,16 @@ Windows are told apart by a 128-bit hash.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, grams, signed, slices, table, utf8, words
+from .common import bounded_batches, grams, signed, slices, stored, table, utf8, words
+from .sketch import Marks, key_filter, octets, sketch, split_by_filter
 
 WINDOW = 50
-#: Rows of the sketch, and the bounds of a row's cells (powers of two).  At most 2 * 2**27 bits are sent to the tasks; with more windows
-#: than that serves, the sketch lets more through, and the exact pass takes more, but none is lost.
-DEPTH = 2
-LEAST_CELLS, MOST_CELLS = 18, 27
-_SHARD = 18
-_ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _SECOND = 0xA0761D6478BD642F
 
 
@@ -54,71 +48,38 @@ def stand_ins(h: np.ndarray, off: np.ndarray, window: int):
     return _sliding_least(g, window - half + 1)[at], at
 
 
-def _cells(v: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(v * np.uint64(odd)) >> np.uint64(64 - bits) for odd in _ODD]
+def sketch_windows(docs: DataFrame, window: int = WINDOW) -> Marks:
+    """Marks of the stand-ins seen twice or more."""
 
+    def values(batch):
+        buf, off = utf8(batch.column(0))
+        found = [np.zeros(0, np.uint64)]
+        for a, b in slices(off):
+            h, _, _, rows = words(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+            v, at = stand_ins(h, rows, window)
+            row = np.searchsorted(rows, at, "right")
+            new = np.ones(len(v), bool)
+            new[1:] = (v[1:] != v[:-1]) | (row[1:] != row[:-1])
+            found.append(v[new])
+        return np.concatenate(found)
 
-def sketch(docs: DataFrame, window: int = WINDOW) -> tuple[int, list[np.ndarray]]:
-    """Bits of a sketch row's cells, and per row which cells counted two or more."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    stand = size / 6 * 2 / (window - (window + 1) // 2 + 2)
-    bits = min(MOST_CELLS, max(LEAST_CELLS, math.ceil(math.log2(max(4 * stand, 1)))))
-    shard_bits = min(_SHARD, bits)
-
-    def part(batches):
-        for batch in batches:
-            buf, off = utf8(batch.column(0))
-            found = []
-            for a, b in slices(off):
-                h, _, _, rows = words(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                v, at = stand_ins(h, rows, window)
-                new = np.ones(len(v), bool)
-                row = np.searchsorted(rows, at, "right")
-                new[1:] = (v[1:] != v[:-1]) | (row[1:] != row[:-1])
-                found.append(v[new])
-            v = np.concatenate([np.zeros(0, np.uint64), *found])
-            out = []
-            for d, cells in enumerate(_cells(v, bits)):
-                cell, n = np.unique(cells, return_counts=True)
-                shard = (cell >> np.uint64(shard_bits)).astype(np.int64)
-                edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(cell) else []
-                for i, j in zip(edges[:-1], edges[1:]):
-                    out.append((d, int(shard[i]), (cell[i:j] & np.uint64((1 << shard_bits) - 1)).astype("<u4").tobytes(), np.minimum(n[i:j], 2).astype("u1").tobytes()))
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["d", "shard", "cells", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(1 << shard_bits, np.int64)
-        for cells, counts in zip(group.column("cells").to_pylist(), group.column("counts").to_pylist()):
-            total[np.frombuffer(cells, "<u4")] += np.frombuffer(counts, "u1")
-        return pa.table({"d": group.column("d").slice(0, 1), "shard": group.column("shard").slice(0, 1), "often": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
-
-    merged = docs.select("text").mapInArrow(part, "d int, shard long, cells binary, counts binary").groupBy("d", "shard").applyInArrow(add, "d int, shard long, often binary")
-    often = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(DEPTH)]
-    for d, shard, raw in merged.collect():  # DEPTH * 2**bits bits
-        often[d][shard << shard_bits >> 3 :][: len(raw)] = np.frombuffer(raw, np.uint8)
-    return bits, often
+    half = (window + 1) // 2
+    return sketch(docs.select("text"), values, octets(docs) / 6 * 2 / (window - half + 2), 2)
 
 
 def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows of ``docs`` (doc_id, key, text) that a smaller doc_id holds: key, doc_id, at (their first words, array)."""
     spark = docs.sparkSession
-    bits, often = sketch(docs, window)
-    shared = spark.sparkContext.broadcast(often)
+    shared = spark.sparkContext.broadcast(sketch_windows(docs, window))
 
     def emit(batches):
-        rows_of = shared.value
         for batch in batches:
             buf, off = utf8(batch.column(2))
             ids, keys = batch.column(0), batch.column(1)
             for a, b in slices(off):
                 h, _, _, rows = words(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 v, at = stand_ins(h, rows, window)
-                keep = np.ones(len(v), bool)
-                for cells, marks in zip(_cells(v, bits), rows_of):
-                    cells = cells.astype(np.int64)
-                    keep &= (marks[cells >> 3] >> (7 - (cells & 7)) & 1).astype(bool)
-                at = at[keep]
+                at = at[shared.value.may_hold(v)]
                 if not len(at):
                     continue
                 # both hashes are of whole windows; only those kept are looked up
@@ -147,9 +108,12 @@ def drop_earlier_windows(docs: DataFrame, window: int = WINDOW, text: bool = Tru
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    spans = earlier_windows(docs, window)
-    same = docs.doc_id.eqNullSafe(spans.doc_id) & (docs.key == spans.key)
-    told = docs.join(spans, same, "left").select(docs.doc_id, "text", "at")
+    spans = stored(earlier_windows(docs, window), "spans")
+    # texts that lose nothing need not move to learn so
+    touched, whole = split_by_filter(docs, "key", key_filter(spans, "key"))
+    same = touched.doc_id.eqNullSafe(spans.doc_id) & (touched.key == spans.key)
+    told = touched.join(spans, same, "left").select(touched.doc_id, "text", "at")
+    told = told.unionByName(whole.select("doc_id", "text", F.lit(None).cast("array<int>").alias("at")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text
 
     def run(batches):
