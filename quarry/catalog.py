@@ -83,7 +83,8 @@ post AS (SELECT tok, chunk_id, chunk_ord, dl, count(*) AS tf FROM (SELECT chunk_
 raw AS (SELECT tok, count(*) AS df, ln((SELECT n FROM size) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post GROUP BY tok),
 stats AS (SELECT tok, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
 asked AS (SELECT qid, tok, count(*) AS qf FROM (SELECT qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS tok FROM questions) GROUP BY ALL),
-scored AS (SELECT qid, chunk_id, chunk_ord, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (SELECT avgdl FROM size)))), 6) AS score FROM asked JOIN stats USING (tok) JOIN post USING (tok) GROUP BY ALL),
+summed AS (SELECT qid, chunk_id, chunk_ord, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (SELECT avgdl FROM size)))) AS score FROM asked JOIN stats USING (tok) JOIN post USING (tok) GROUP BY ALL),
+scored AS (SELECT qid, chunk_id, chunk_ord, round(score, 6) AS score FROM summed),
 padded AS (SELECT * FROM scored UNION ALL SELECT qid, chunk_id, chunk_ord, 0.0 FROM questions CROSS JOIN chunks WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.qid = questions.qid AND s.chunk_id = chunks.chunk_id)),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ord) AS rank FROM padded) WHERE rank <= 20)"""
 
@@ -122,12 +123,12 @@ def _(spark, d):
     return retrieval.postings(_chunks(spark, d)).withColumn("dl", F.col("dl").cast("long"))
 
 
-@_query("bm25_score", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25} SELECT qid, chunk_id, round(score, 4) AS score FROM scored")
+@_query("bm25_score", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25} SELECT qid, chunk_id, round(score, 4) AS score FROM summed")
 def _(spark, d):
     rows = _chunks(spark, d)
     posted, size = retrieval.postings(rows), retrieval.corpus_size(rows)
     scored = retrieval.bm25_score(_questions(spark, d), posted, retrieval.bm25_stats(posted, size), size)
-    return scored.select("qid", "chunk_id", F.round(F.round("score", 6), 4).alias("score"))
+    return scored.select("qid", "chunk_id", F.round("score", 4).alias("score"))
 
 
 @_query("bm25_topk", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25} SELECT qid, rank, chunk_id, score FROM bm25")

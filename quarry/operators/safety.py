@@ -45,17 +45,21 @@ def redact(text) -> Column:
     return text
 
 
-@F.pandas_udf(ENTITIES)
-def entities(texts: pd.Series) -> pd.Series:
+def _finds(text: str | None) -> list[dict]:
+    taken, out = [], []
+    for kind, (pattern, score) in PII.items():
+        for m in re.finditer(pattern, text or ""):
+            if all(m.end() <= a or m.start() >= b for a, b in taken):
+                taken.append(m.span())
+                out.append({"entity_type": kind, "start": m.start(), "end": m.end(), "score": score, "text": m[0]})
+    return sorted(out, key=lambda e: e["start"])
+
+
+def entities(text) -> Column:
     """All finds with their offsets, in order; of overlapping ones that of higher priority. (Spark has no function for match offsets.)"""
 
-    def of(text):
-        taken, out = [], []
-        for kind, (pattern, score) in PII.items():
-            for m in re.finditer(pattern, text or ""):
-                if all(m.end() <= a or m.start() >= b for a, b in taken):
-                    taken.append(m.span())
-                    out.append({"entity_type": kind, "start": m.start(), "end": m.end(), "score": score, "text": m[0]})
-        return sorted(out, key=lambda e: e["start"])
+    @F.pandas_udf(ENTITIES)
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(_finds)
 
-    return texts.map(of)
+    return find(text)
