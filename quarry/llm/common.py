@@ -6,6 +6,7 @@ with offsets per batch, so that no Python object is made per word or byte.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -18,7 +19,27 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 #: Bytes of one Arrow batch, whatever the length of its texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+
+
+def _return_memory() -> None:
+    """Let freed arrays go back to the system at once.
+
+    Idle Python workers stay alive, and with the usual settings of the C library and of Arrow they
+    keep what they once needed; several of them share an executor's memory.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        trim_threshold, mmap_threshold, arenas = -1, -3, -8  # fixed values of mallopt
+        libc.mallopt(mmap_threshold, 1 << 19)
+        libc.mallopt(trim_threshold, 1 << 20)
+        libc.mallopt(arenas, 2)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_return_memory()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 10_000) -> None:
@@ -73,7 +94,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, limit: int = 4 << 20):
+def slices(off: np.ndarray, limit: int = 1 << 20):
     """Cut rows into runs of about ``limit`` bytes: (first row, row after)."""
     at, n = 0, len(off) - 1
     while at < n:
