@@ -38,7 +38,9 @@ MARGIN = 1.5
 #: Nats by which a text must exceed the threshold in all: a few odd bytes alone say nothing.
 SLACK = 24.0
 #: Bytes of text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Blocks of small inputs: as many as there are shuffle partitions, up to these.
+LEAST_BLOCKS = 64
 
 
 def runs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -152,7 +154,7 @@ def _packed(docs: DataFrame, blocks: int) -> DataFrame:
             order = np.argsort(block, kind="stable")
             rows = batch.select(list(range(batch.num_columns - 1))).take(pa.array(order))
             edges = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
-            press = zstandard.ZstdCompressor(level=1)
+            press = zstandard.ZstdCompressor(level=3)
             out = []
             for a, b in zip(edges[:-1], edges[1:]):
                 sink = io.BytesIO()
@@ -175,14 +177,16 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     """``docs`` (doc_id, lang, text) with their perplexity per byte, the text left out; null where there is no byte."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(size // BLOCK_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(size // BLOCK_BYTES + 1, min(partitions, LEAST_BLOCKS))
     packed = _packed(docs.select("doc_id", "lang", "text"), blocks)
 
     def ask(group: pa.Table) -> pa.Table:
         g = pd.unique(np.concatenate([np.zeros(0, np.int64), *(_different(batch.column(2)) for batch in _unpacked(group))]))
         return pa.table({"block": pa.array(np.full(len(g), group.column("block")[0].as_py()), pa.int32()), "g": pa.array(g)})
 
-    asked = packed.groupBy("block").applyInArrow(ask, "block int, g long")
+    # dealt by run once: every order below, and the way back, starts from this exchange
+    asked = packed.groupBy("block").applyInArrow(ask, "block int, g long").repartition(partitions, "g")
     answers = asked.join(answer(asked.select("g").distinct(), model), "g").select("block", "g", "lp")
 
     def score(group: pa.Table, told: pa.Table) -> pa.Table:
