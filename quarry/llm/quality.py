@@ -37,6 +37,8 @@ QUANTILE = 0.99
 MARGIN = 1.5
 #: Nats by which a text must exceed the threshold in all: a few odd bytes alone say nothing.
 SLACK = 24.0
+#: No discount is less, so that every context leaves some weight to what it has not seen.
+LEAST_DISCOUNT = 0.1
 #: Bytes of text of a block.
 BLOCK_BYTES = 16 << 20
 #: Blocks of small inputs: as many as there are shuffle partitions, up to these.
@@ -108,7 +110,7 @@ def train(counts: DataFrame) -> DataFrame:
     discount = F.lit(0.0)
     for k, n1, n2, n3, n4 in told:
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-        d = [max(0.0, min(i, i - (i + 1) * y * b / a)) if a else 0.0 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        d = [max(LEAST_DISCOUNT, min(i, i - (i + 1) * y * b / a)) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         of = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         discount = F.when(F.col("k") == k, of).otherwise(discount)
     counted = all_counts.withColumns({"d": discount, "h": F.shiftright("g", 8)})
