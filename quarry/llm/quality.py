@@ -8,9 +8,9 @@ shorter suffix are shifts and masks of it, so all counts are DataFrame aggregate
    other half, all of it, is held out for the thresholds.
 2. Probabilities of all seen runs, and the weight that a seen context leaves to shorter
    ones, come from joins of the counts, order by order.
-3. Documents are dealt to blocks.  A block asks for its different runs; distinct runs of
-   all blocks are joined, shard by shard, with the model; the answers go back
-   to the blocks, which add up their documents' log-probabilities.
+3. The different runs of all texts are joined, shard by shard, with the model.  Documents are dealt
+   to blocks; a block asks for its different runs, and the answers go to the
+   blocks, which add up their documents' log-probabilities.
 4. A document is rejected if its perplexity per byte exceeds ``QUANTILE`` of those of
    all held-out trusted documents of its language, times ``MARGIN``, by ``SLACK`` nats
    over the whole text, so that very short texts are not judged by a few bytes.
@@ -183,16 +183,22 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     blocks = max(size // BLOCK_BYTES + 1, min(partitions, LEAST_BLOCKS))
     packed = _packed(docs.select("doc_id", "lang", "text"), blocks)
 
+    def different(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_different(batch.column(0)))], ["g"])
+
+    # Written, as every order of the model starts from these runs: in one plan they would be made anew for each.
+    told = stored(answer(stored(docs.select("text").mapInArrow(different, "g long").distinct(), "runs"), model), "answers")
+
     def ask(group: pa.Table) -> pa.Table:
         g = pd.unique(np.concatenate([np.zeros(0, np.int64), *(_different(batch.column(2)) for batch in _unpacked(group))]))
         return pa.table({"block": pa.array(np.full(len(g), group.column("block")[0].as_py()), pa.int32()), "g": pa.array(g)})
 
-    # dealt by run once: every order below, and the way back, starts from this exchange
-    asked = packed.groupBy("block").applyInArrow(ask, "block int, g long").repartition(partitions, "g")
-    answers = asked.join(answer(asked.select("g").distinct(), model), "g").select("block", "g", "lp")
+    asked = packed.groupBy("block").applyInArrow(ask, "block int, g long")
+    answers = asked.join(told, "g").select("block", "g", "lp")
 
-    def score(group: pa.Table, told: pa.Table) -> pa.Table:
-        g, lp = told.column("g").to_numpy(), told.column("lp").to_numpy()
+    def score(group: pa.Table, answered: pa.Table) -> pa.Table:
+        g, lp = answered.column("g").to_numpy(), answered.column("lp").to_numpy()
         order = np.argsort(g)
         g, lp = g[order], lp[order]
         out = []
