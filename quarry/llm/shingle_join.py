@@ -290,8 +290,8 @@ def near_texts(docs: DataFrame, least: float = LEAST, tolerance: float = TOLERAN
     directly), class_id (the smallest doc_id of its set's equals), component_id (the
     smallest doc_id reachable by links), kept (doc_id = component_id).  Words are
     lower-cased and separated by ASCII white space.  A text without words, null or empty, links with
-    nothing and is its own class.  A row without doc_id takes part like others, but only
-    names a class or component that has no doc_id at all (ids null; kept is null for the row).
+    nothing and is its own class.  A row without doc_id counts among the equals of its text; a
+    class in which no row has one links with its equals only (ids and kept null).
     Rows that repeat a doc_id count each, and all of them are kept if that id is.
     Other columns are ignored.
     """
@@ -305,7 +305,6 @@ def near_texts(docs: DataFrame, least: float = LEAST, tolerance: float = TOLERAN
     groups = stored(components(trees), "groups")
 
     # The sets of candidates, made again from one text each.
-    # (null doc_ids are never taken: their rows count, but another row of the class gives the text, or none does)
     wanted = groups.join(classes.withColumnRenamed("class_id", "doc_id"), groups.node == classes.node).select("doc_id", groups.node, "n")
     texts = docs.join(wanted, "doc_id").select("node", "n", "text")
 
