@@ -22,24 +22,23 @@ WORD = rf"[^{SPACE}]+"
 BATCH_BYTES = 8 << 20
 
 
-def _return_memory() -> None:
-    """Let freed arrays go back to the system at once.
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 25)  # fixed values: M_MMAP_THRESHOLD; arrays up to 32 MB reuse the heap
+    _libc.mallopt(-8, 2)  # M_ARENA_MAX
+except (OSError, AttributeError):  # another C library
+    _libc = None
+pa.set_memory_pool(pa.system_memory_pool())
 
-    Idle Python workers stay alive, and with the usual settings of the C library and of Arrow they
-    keep what they once needed; several of them share an executor's memory.
-    """
-    pa.set_memory_pool(pa.system_memory_pool())
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        trim_threshold, mmap_threshold, arenas = -1, -3, -8  # fixed values of mallopt
-        libc.mallopt(mmap_threshold, 1 << 19)
-        libc.mallopt(trim_threshold, 1 << 20)
-        libc.mallopt(arenas, 2)
-    except (OSError, AttributeError):  # another C library
-        pass
 
+def return_memory() -> None:
+    """Give what is free back to the system; called once a batch.
 
-_return_memory()
+    Idle Python workers stay alive and would keep what they once needed, and several
+    of them share an executor's memory.
+    """
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 10_000) -> None:
@@ -77,6 +76,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the offsets of its rows; null is empty."""
+    return_memory()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
