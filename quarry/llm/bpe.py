@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,29 @@ CHUNK = 32_768
 OVERLAP = 512
 
 
-@functools.lru_cache(maxsize=2)
+Then = tuple[Callable, str]
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@functools.lru_cache(maxsize=1)
 def _coder(path: str, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    table_ = [b""] * (max(ranks.values()) + 1)
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
+
+
+@functools.lru_cache(maxsize=1)
+def _pieces(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = _ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        table_[rank] = piece
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table_
+        out[rank] = piece
+    return out
 
 
 def _encode(coder, text: str, pattern: str) -> list[int]:
@@ -82,9 +96,11 @@ def stitches(spans: list[tuple[np.ndarray, np.ndarray]]) -> list[int | None]:
     return out
 
 
-def encode_bpe(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_bpe(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, then: Then | None = None) -> DataFrame:
     """Ids of whole texts: doc_id, ids (little-endian u32).
 
+    ``then`` (a generator over batches of these, and its schema) goes on in the same worker, as ids would else pass through the JVM.
+
     ``docs`` has doc_id and text; null text is empty, other columns are ignored.  No
     special tokens.  Every row gives one row, also where rows repeat.
     """
@@ -94,11 +110,12 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
     long_text = F.length("text") > chunk
 
     def whole(batches):
-        coder, _ = _coder(path, pattern)
+        coder = _coder(path, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _packed([_encode(coder, t, pattern) for t in batch.column(1).to_pylist()])], ["doc_id", "ids"])
 
-    short = docs.filter(~long_text).mapInArrow(whole, "doc_id long, ids binary")
+    go_on, schema = then or ((lambda batches: batches), "doc_id long, ids binary")
+    short = docs.filter(~long_text).mapInArrow(lambda batches: go_on(whole(batches)), schema)
 
     # A text is known by its doc_id and hashes; rows that agree in all of them are equal and go together.
     key = ["doc_id", "h1", "h2"]
@@ -141,7 +158,7 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
     placed = parts.join(plan, same).select(parts.doc_id, parts.h1, parts.h2, parts.chunk_no, "part", "piece", "first", "end", "copies")
 
     def encode(group: pa.Table) -> pa.Table:
-        coder, _ = _coder(path, pattern)
+        coder = _coder(path, pattern)
         _, at = np.unique(group.column("chunk_no").to_numpy(), return_index=True)
         own = group.take(at)
         text = "".join(p[f:e] for p, f, e in zip(*(own.column(c).to_pylist() for c in ("part", "first", "end"))))
@@ -154,20 +171,18 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
         order = np.argsort(group.column("piece").to_numpy())
         ids = b"".join(group.column("ids").take(order).to_pylist())
         copies = group.column("copies")[0].as_py()
-        return pa.table({"doc_id": group.column("doc_id").slice(0, 1).take([0] * copies), "ids": pa.array([ids] * copies, pa.binary())})
+        rows = pa.table({"doc_id": group.column("doc_id").slice(0, 1).take([0] * copies), "ids": pa.array([ids] * copies, pa.binary())})
+        return pa.Table.from_batches(list(go_on(rows.combine_chunks().to_batches())))
 
-    return short.unionByName(pieces.groupBy(*key).applyInArrow(join, "doc_id long, ids binary"))
+    return short.unionByName(pieces.groupBy(*key).applyInArrow(join, schema))
 
 
-def decode_bpe(encoded: DataFrame, path: str, pattern: str, text: bool = True) -> DataFrame:
-    """Decode ``encoded`` (doc_id, ids): doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``text``, the bytes as decoded.
-
-    ``ids_sha256`` is taken of the decimal ids joined by commas.
-    """
+def decoder(path: str, text: bool = True) -> Then:
+    """Decoding as a generator over batches of (doc_id, ids), with its schema."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded binary" * text
 
     def run(batches):
-        _, table_ = _coder(path, pattern)
+        table_ = _pieces(path)
         names = [str(i).encode() for i in range(len(table_))]
         for batch in batches:
             out = []
@@ -176,19 +191,25 @@ def decode_bpe(encoded: DataFrame, path: str, pattern: str, text: bool = True) -
                 decoded = b"".join([table_[i] for i in ids])
                 out.append((len(ids), hashlib.sha256(b",".join([names[i] for i in ids])).hexdigest(), hashlib.sha256(decoded).hexdigest(), decoded))
             cols = list(zip(*out)) if out else [[], [], [], []]
-            arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-            if text:
-                arrays.append(pa.array(cols[3], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, [p.split()[0] for p in schema.split(", ")])
+            types = (pa.int64(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols[: 3 + text], types))], [p.split()[0] for p in schema.split(", ")])
+
+    return run, schema
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+
+def decode_bpe(encoded: DataFrame, path: str, text: bool = True) -> DataFrame:
+    """Decode ``encoded`` (doc_id, ids): doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``text``, the bytes as decoded.
+
+    ``ids_sha256`` is taken of the decimal ids joined by commas.
+    """
+    return encoded.select("doc_id", "ids").mapInArrow(*decoder(path, text))
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return decode_bpe(encode_bpe(docs, path, pattern), path, pattern, text=False)
+    return encode_bpe(docs, path, pattern, then=decoder(path, text=False))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

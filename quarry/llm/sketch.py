@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,20 +84,17 @@ def key_filter(rows: DataFrame, key: str) -> Marks:
     return sketch(keys, lambda batch: batch.column(0).to_numpy().view(np.uint64), keys.count(), 1)
 
 
-def split_by_filter(rows: DataFrame, key: str, marks: Marks) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be in the filter, rows whose key is not)."""
-    shared = rows.sparkSession.sparkContext.broadcast(marks)
+def keeping(batches, key: str, marks: Marks, want: bool):
+    """The rows of Arrow batches whose key may be in the filter, or with ``want`` false those whose key is not."""
+    for batch in batches:
+        k = batch.schema.get_field_index(key)
+        yes = marks.may_hold(batch.column(k).to_numpy().view(np.uint64))
+        yield batch.filter(pa.array(yes == want))
 
-    def keep(want: bool):
-        def run(batches):
-            for batch in batches:
-                k = batch.schema.get_field_index(key)
-                yes = shared.value.may_hold(batch.column(k).to_numpy().view(np.uint64))
-                yield batch.filter(pa.array(yes == want))
 
-        return run
-
-    return rows.mapInArrow(keep(True), rows.schema), rows.mapInArrow(keep(False), rows.schema)
+def rows_in(rows: DataFrame, key: str, marks: Broadcast) -> DataFrame:
+    """Rows whose key may be in the filter."""
+    return rows.mapInArrow(lambda batches: keeping(batches, key, marks.value, True), rows.schema)
 
 
 def octets(rows: DataFrame, column: str = "text") -> int:

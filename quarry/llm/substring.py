@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, grams, signed, slices, stored, table, utf8, words
-from .sketch import Marks, key_filter, octets, sketch, split_by_filter
+from .sketch import Marks, keeping, key_filter, octets, rows_in, sketch
 
 WINDOW = 50
 _SECOND = 0xA0761D6478BD642F
@@ -110,10 +110,10 @@ def drop_earlier_windows(docs: DataFrame, window: int = WINDOW, text: bool = Tru
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     spans = stored(earlier_windows(docs, window), "spans")
     # texts that lose nothing need not move to learn so
-    touched, whole = split_by_filter(docs, "key", key_filter(spans, "key"))
+    marks = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "key"))
+    touched = rows_in(docs, "key", marks)
     same = touched.doc_id.eqNullSafe(spans.doc_id) & (touched.key == spans.key)
     told = touched.join(spans, same, "left").select(touched.doc_id, "text", "at")
-    told = told.unionByName(whole.select("doc_id", "text", F.lit(None).cast("array<int>").alias("at")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text
 
     def run(batches):
@@ -143,7 +143,12 @@ def drop_earlier_windows(docs: DataFrame, window: int = WINDOW, text: bool = Tru
             arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.string())] * text, [p.split()[0] for p in schema.split(", ")])
 
-    return told.mapInArrow(run, schema)
+    def untouched(batches):
+        for batch in keeping(batches, "key", marks.value, False):
+            nothing = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield from run([pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nothing], ["doc_id", "text", "at"])])
+
+    return told.mapInArrow(run, schema).unionByName(docs.mapInArrow(untouched, schema))
 
 
 def op8_drop_earlier_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

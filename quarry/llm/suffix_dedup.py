@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from .bwt import build
 from .common import bounded_batches, mix, powers, signed, slices, stored, table, utf8
 from .shingle_join import _grouped
-from .sketch import Marks, key_filter, octets, sketch, split_by_filter
+from .sketch import Marks, keeping, key_filter, octets, rows_in, sketch
 from .substring import _sliding_least
 
 WINDOW = 400
@@ -114,14 +114,16 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
                     ["g", "c", "doc_id", "key", "at", "windows", "anchor"],
                 )
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "g long, c long, doc_id long, key long, at int, windows int, anchor int")
+    found = stored(docs.select("doc_id", "key", "text").mapInArrow(run, "g long, c long, doc_id long, key long, at int, windows int, anchor int"), "segments")
+    shared.unpersist()
+    return found
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The bytes of ``wanted`` (g, c, n, windows, anchor, rep: struct of key, at)."""
     wanted = wanted.select("rep.key", F.struct("rep.at", "g", "c", "n", "windows", "anchor").alias("s"))
     lists = stored(wanted.groupBy("key").agg(F.collect_list("s").alias("s")), "wanted")  # at most a document's segments each
-    touched, _ = split_by_filter(docs.select("key", "text"), "key", key_filter(lists, "key"))
+    touched = rows_in(docs.select("key", "text"), "key", docs.sparkSession.sparkContext.broadcast(key_filter(lists, "key")))
 
     def cut(batches):
         for batch in batches:
@@ -230,7 +232,7 @@ def _built(strings: DataFrame, window: int, symbol: int) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_most: int = GROUP_MOST) -> DataFrame:
     """Repeated windows of ``docs`` (doc_id, key, text): doc_id, key, spans (array of first and last start)."""
-    found = stored(occurrences(docs, window), "segments")
+    found = occurrences(docs, window)
     contents = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("rep"), F.first("windows").alias("windows"), F.first("anchor").alias("anchor"))
     contents = stored(contents, "contents")
 
@@ -287,10 +289,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, gr
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), "text", *carry)
     keyed = docs.select("doc_id", F.col("_key").alias("key"), "text")
     spans = stored(repeats(keyed, window, symbol, group_most), "spans")
-    touched, whole = split_by_filter(docs, "_key", key_filter(spans, "key"))
+    marks = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "key"))
+    touched = rows_in(docs, "_key", marks)
     same = touched.doc_id.eqNullSafe(spans.doc_id) & (touched._key == spans.key)
     told = touched.join(spans, same, "left").select(touched.doc_id, "text", "spans", *carry)
-    told = told.unionByName(whole.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), *carry))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"][: 5 + rest]
     schema = StructType([*(StructField(n, t) for n, t in zip(names, (LongType(),) * 4 + (StringType(), StringType() if as_text else BinaryType()))), *carried])
 
@@ -317,7 +319,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, gr
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols[: 4 + rest], types)), *batch.columns[3:]], [*names, *carry])
 
-    return told.mapInArrow(run, schema)
+    def untouched(batches):
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        for batch in keeping(batches, "_key", marks.value, False):
+            nothing = pa.array([[]] * batch.num_rows, kind)
+            yield from run([pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nothing, *batch.columns[3:]], ["doc_id", "text", "spans", *carry])])
+
+    return told.mapInArrow(run, schema).unionByName(docs.mapInArrow(untouched, schema))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

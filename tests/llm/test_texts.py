@@ -324,10 +324,12 @@ def test_bpe(spark, texts, chunk, overlap):
     if chunk == 64:
         rows = [r for r in rows if r[0] != 12]
     encoded = bpe.encode_bpe(texts(rows), path, pattern, chunk, overlap)
-    decoded = bpe.decode_bpe(encoded, path, pattern)
+    decoded = bpe.decode_bpe(encoded, path)
     want = []
     for r in rows:
         ids = coder.encode_ordinary(r[1] or "")
         want.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), bytearray((r[1] or "").encode())))
     assert as_lists(decoded, "n_tokens", "ids_sha256", "decoded") == wanted(rows, want)
+    at_once = bpe.encode_bpe(texts(rows), path, pattern, chunk, overlap, then=bpe.decoder(path))
+    assert as_lists(at_once, "n_tokens", "ids_sha256", "decoded") == wanted(rows, want)
     assert bpe.encode_bpe(texts([]), path, pattern).count() == 0
