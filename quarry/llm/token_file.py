@@ -28,18 +28,22 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 MAGIC = b"QTK1"
 _ONE = 1 << 16
 _LEAST = 32
 _RATE = 5
+_SURE = 1 << 12  # weight of an expert that is always better
 _S1, _S2 = 10, 12  # log2 of the slots of order 1 and 2
-_LOW = 16  # id groups with low-byte counts of their own; the others share one
+_LOW = 4  # id groups with low-byte counts of their own; the others share one
 
 _HEAD = struct.Struct("<4sIIII")
 _BLOCK_HEAD = struct.Struct("<IIII")
 _INDEX = np.dtype([("id", "<i8"), ("has", "u1"), ("n", "<u4")])
 
+#: A slot's confidence after a miss and after a hit.
+_NEXT = np.array([[0, 0, 1, 2], [1, 2, 3, 3]], np.int8)
+
 _M32 = np.uint64(0xFFFFFFFF)
 _32, _16 = np.uint64(32), np.uint64(16)
 
@@ -53,12 +57,11 @@ class _Model:
         self.base1, self.base2 = at << _S1, at << _S2
         self.id1, self.id2 = np.zeros(lanes << _S1, np.int32), np.zeros(lanes << _S2, np.int32)
         self.sure1, self.sure2 = np.zeros(lanes << _S1, np.int8), np.zeros(lanes << _S2, np.int8)
-        # thresholds of the three-way choice: by confidence, per expert
-        self.a = np.empty((lanes * 4, 2), np.int32)
-        self.b = np.empty((lanes * 4, 2), np.int32)
-        self.a[:] = self.b[:] = (_ONE // 8, _ONE // 4)
-        self.weight = np.full(lanes, _ONE // 2, np.int64)
-        self.lane = at
+        # thresholds of the three-way choice by confidence, two for each expert
+        first, second = np.full(lanes * 4, _ONE // 8, np.int32), np.full(lanes * 4, _ONE // 4, np.int32)
+        self.a1, self.a2, self.b1, self.b2 = first, second, first.copy(), second.copy()
+        self.weight = np.full(lanes, _SURE // 2, np.int32)
+        self.lane4 = at << 2
         self.width = self.high + (_LOW + 1) * 256
         self.count = np.ones((lanes, self.width), np.uint16)
         self.next_reading = 16
@@ -88,29 +91,26 @@ class _Model:
         k1 = self.base1[:n] + ((b * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _S1))
         k2 = self.base2[:n] + (((a * 0x85EBCA6B + b * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - _S2))
         s1, s2 = self.sure1[k1], self.sure2[k2]
-        ia, ib = self.lane[:n] * 4 + s2, self.lane[:n] * 4 + s1
-        ta, tb, w = self.a[ia], self.b[ib], self.weight[:n]
-        mixed = (tb + ((ta - tb) * w[:, None] >> 16)).astype(np.int64)
-        c1 = np.clip(mixed[:, 0], _LEAST, _ONE - 2 * _LEAST)
-        c2 = np.clip(mixed[:, 1], c1 + _LEAST, _ONE - _LEAST)
-        self.now = (k1, k2, s1, s2, ia, ib, ta, tb)
+        ia, ib = self.lane4[:n] + s2, self.lane4[:n] + s1
+        a1, a2, b1, b2, w = self.a1[ia], self.a2[ia], self.b1[ib], self.b2[ib], self.weight[:n]
+        d1, d2 = a1 - b1, a2 - b2
+        c1 = np.minimum(np.maximum(b1 + (d1 * w >> 12), _LEAST), _ONE - 2 * _LEAST)
+        c2 = np.minimum(np.maximum(b2 + (d2 * w >> 12), c1 + _LEAST), _ONE - _LEAST)
+        self.now = (k1, k2, s1, s2, ia, ib, a1, a2, b1, b2, d1, d2)
         return self.id2[k2], self.id1[k1], c1, c2
 
-    def learn(self, x, way, p2, p1, n):
-        k1, k2, s1, s2, ia, ib, ta, tb = self.now
-        lo, hi = way == 0, way <= 1
-        goal = np.empty((n, 2), np.int32)
-        goal[:, 0], goal[:, 1] = lo * _ONE, hi * _ONE
-        def share(t):
-            return np.where(lo, t[:, 0], np.where(hi, t[:, 1] - t[:, 0], _ONE - t[:, 1]))
-        better = share(ta) > share(tb)
-        self.a[ia] = ta + (goal - ta >> _RATE)
-        self.b[ib] = tb + (goal - tb >> _RATE)
+    def learn(self, x, right2, right1, n):
+        k1, k2, s1, s2, ia, ib, a1, a2, b1, b2, d1, d2 = self.now
+        either = right2 | right1
+        lo, hi = right2.astype(np.int32) << 16, either.astype(np.int32) << 16
+        self.a1[ia], self.a2[ia] = a1 + (lo - a1 >> _RATE), a2 + (hi - a2 >> _RATE)
+        self.b1[ib], self.b2[ib] = b1 + (lo - b1 >> _RATE), b2 + (hi - b2 >> _RATE)
+        # by how much the order-2 expert gave what came a larger share
+        gain = np.where(right2, d1, np.where(either, d2 - d1, -d2))
         w = self.weight[:n]
-        w += np.where(better, _ONE - w, -w) >> 6
-        right1, right2 = p1 == x, p2 == x
-        self.sure1[k1] = np.where(right1, np.minimum(s1 + 1, 3), np.maximum(s1 - 1, 0))
-        self.sure2[k2] = np.where(right2, np.minimum(s2 + 1, 3), np.maximum(s2 - 1, 0))
+        w += (np.where(gain > 0, _SURE, 0) - w) >> 6
+        self.sure1[k1] = _NEXT[right1.view(np.int8), s1]
+        self.sure2[k2] = _NEXT[right2.view(np.int8), s2]
         self.id1[k1] = x
         self.id2[k2] = x
 
@@ -199,10 +199,10 @@ def encode_blocks(ids: np.ndarray, cuts: np.ndarray, n_ids: int) -> list[bytes]:
         n = int(np.searchsorted(-lengths, -step, "left"))
         x, a, b, all_n = grid[step, :n].astype(np.int64), a[:n], b[:n], slice(0, n)
         p2, p1, c1, c2 = model.predict(a, b, n)
-        way = np.where(p2 == x, 0, np.where(p1 == x, 1, 2))
-        cum = np.where(way == 0, 0, np.where(way == 1, c1, c2))
-        coder.put(all_n, cum, np.where(way == 0, c1, np.where(way == 1, c2, _ONE)) - cum)
-        rest = np.flatnonzero(way == 2)
+        right2, right1 = p2 == x, p1 == x
+        cum = np.where(right2, 0, np.where(right1, c1, c2))
+        coder.put(all_n, cum, np.where(right2, c1, np.where(right1, c2, _ONE)) - cum)
+        rest = np.flatnonzero(~(right2 | right1))
         if len(rest):
             y = x[rest]
             high, low = y >> 8, y & 255
@@ -212,7 +212,7 @@ def encode_blocks(ids: np.ndarray, cuts: np.ndarray, n_ids: int) -> list[bytes]:
             cut = model.cut_low[row, low]
             coder.put(rest, cut, model.cut_low[row, low + 1] - cut)
             model.count_ids(rest, high, low)
-        model.learn(x, way, p2, p1, n)
+        model.learn(x, right2, right1, n)
         model.turn(step)
         a, b = b, x
     coder.finish(lanes)
@@ -253,11 +253,11 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, n_ids: int) -> np.
         a, b, all_n = a[:n], b[:n], slice(0, n)
         p2, p1, c1, c2 = model.predict(a, b, n)
         v = coder.look(all_n)
-        way = (v >= c1).astype(np.int64) + (v >= c2)
-        cum = np.where(way == 0, 0, np.where(way == 1, c1, c2))
-        coder.take(all_n, cum, np.where(way == 0, c1, np.where(way == 1, c2, _ONE)) - cum)
-        x = np.where(way == 0, p2, p1).astype(np.int64)
-        rest = np.flatnonzero(way == 2)
+        above1, above2 = v >= c1, v >= c2
+        cum = np.where(above2, c2, np.where(above1, c1, 0))
+        coder.take(all_n, cum, np.where(above2, _ONE, np.where(above1, c2, c1)) - cum)
+        x = np.where(above1, p1, p2).astype(np.int64)
+        rest = np.flatnonzero(above2)
         if len(rest):
             v = coder.look(rest)
             high = _search(model.cut_high, rest, v, model.high)
@@ -270,7 +270,7 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, n_ids: int) -> np.
             coder.take(rest, cut, model.cut_low[row, low + 1] - cut)
             model.count_ids(rest, high, low)
             x[rest] = high << 8 | low
-        model.learn(x, way, p2, p1, n)
+        model.learn(x, p2 == x, p1 == x, n)
         model.turn(step)
         grid[step, :n] = x
         a, b = b, x

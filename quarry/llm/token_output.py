@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -10,48 +12,85 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, table
+from .common import bounded_batches, return_memory, stored, table
 from .token_file import frame_index, read_frames, write_frames
 
 #: Characters of text that one file is meant to hold.
 FILE_CHARS = 32 << 20
 #: Ids of a frame (a frame ends with the document that reaches it) and of the frames coded together.
 FRAME_IDS = 1 << 19
-TOGETHER_IDS = 3 << 20
+TOGETHER_IDS = 6 << 20
 #: Words that a worker keeps encoded.
 CACHE_WORDS = 1 << 18
+#: Words given to the tokenizer at a time; its results take far more memory than their ids.
+WORDS_AT_ONCE = 1 << 13
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer whose ids never span ASCII white space.
 
-    Each different word is given to the tokenizer once; texts are then put
-    together from the words' ids by array operations.
+    Each different word is encoded once, and of new words each different
+    pre-token; texts are put together from the words' ids by array operations.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"\s", *special]))
         self._clear()
 
     def _clear(self):
         self.known: dict[str, int] = {}
-        self.ids, self.off = [np.zeros(0, np.int32)], [0]
+        self.pieces: dict[str, list[int]] = {}
+        self.ids, self.off = np.zeros(0, np.int32), [0]
+
+    def _one_by_one(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _coded(self, words: list[str]) -> list[list[int]]:
+        """Ids of words: normalised and pre-tokenised as one text, its pre-tokens encoded by the model.
+
+        Words that hold other white space or a special token would shift that, and go one by one.
+        """
+        plain = [w for w in words if not self.odd.search(w)]
+        text = self.tokenizer.normalizer.normalize_str(" ".join(plain))
+        if not plain or text.count(" ") != len(plain) - 1:
+            return self._one_by_one(words)
+        starts = np.cumsum([0] + [len(w) + 1 for w in text.split(" ")[:-1]])
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        owner = np.searchsorted(starts, [span[0] for _, span in found], "right") - 1
+        coded: list[list[int]] = [[] for _ in plain]
+        pieces, tokenize = self.pieces, self.tokenizer.model.tokenize
+        for k, (piece, _) in zip(owner.tolist(), found):
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = pieces[piece] = [t.id for t in tokenize(piece)]
+            coded[k] += ids
+        if len(plain) == len(words):
+            return coded
+        rest = iter(self._one_by_one([w for w in words if self.odd.search(w)]))
+        own = iter(coded)
+        return [next(rest) if self.odd.search(w) else next(own) for w in words]
 
     def _learn(self, unique: list[str]) -> np.ndarray:
         if len(self.known) + len(unique) > CACHE_WORDS:
             self._clear()
         new = [w for w in unique if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = len(self.off) - 1
-            self.ids.append(np.asarray(e.ids, np.int32))
-            self.off.append(self.off[-1] + len(self.ids[-1]))
-        self.ids = [np.concatenate(self.ids)] if len(self.ids) > 1 else self.ids
+        added = [self.ids]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            coded = self._coded(part)
+            self.known.update(zip(part, range(len(self.off) - 1, len(self.off) - 1 + len(part))))
+            added.append(np.fromiter(itertools.chain.from_iterable(coded), np.int32))
+            self.off += (self.off[-1] + np.cumsum([len(ids) for ids in coded])).tolist()
+        self.ids = np.concatenate(added)
         return np.fromiter((self.known[w] for w in unique), np.int64, len(unique))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the offsets of the texts in them."""
+        return_memory()
         lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         word = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
@@ -60,7 +99,7 @@ class WordEncoder:
         ends = np.concatenate([[0], np.cumsum(n)])
         take = np.arange(ends[-1]) + np.repeat(off[word] - ends[:-1], n)
         rows = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return self.ids[0][take], ends[rows]
+        return self.ids[take], ends[rows]
 
 
 def _kind(n_ids: int) -> np.dtype:
