@@ -12,8 +12,8 @@ shorter suffix are shifts and masks of it, so all counts are DataFrame aggregate
    to blocks; a block asks for its different runs, and the answers go to the
    blocks, which add up their documents' log-probabilities.
 4. A document is rejected if its perplexity per byte exceeds ``QUANTILE`` of those of
-   all held-out trusted documents of its language, times ``MARGIN``, by ``SLACK`` nats
-   over the whole text, so that very short texts are not judged by a few bytes.
+   all held-out trusted documents of its language by ``SLACK`` nats over the whole
+   text, so that very short texts are not judged by a few bytes.
 
 Texts move once, packed; no task holds the model.
 """
@@ -34,7 +34,6 @@ from .common import bounded_batches, slices, stored, table, utf8
 ORDER = 5
 TRUSTED = 20_000
 QUANTILE = 0.99
-MARGIN = 1.5
 #: Nats by which a text must exceed the threshold in all: a few odd bytes alone say nothing.
 SLACK = 24.0
 #: No discount is less, so that every context leaves some weight to what it has not seen.
@@ -217,14 +216,16 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, slack: float = SLACK, trusted: int = TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, trusted: int = TRUSTED) -> DataFrame:
     """Perplexity and verdict for each of ``docs`` (doc_id, lang, text).
 
     Returns doc_id, lang, perplexity (per byte), threshold and kept, a row per row.
     ``labels`` has doc_id, quality and toxic; a doc_id labelled twice is trusted only if
     both agree.  A document without text has no perplexity and is not kept.  A
-    language without held-out documents, or null, takes the threshold of all of them;
-    without any, nothing can be judged and every document that has text is kept.
+    language with fewer than 1 / (1 - ``quantile``) held-out documents has no such
+    quantile, only a largest one, and takes the threshold of all languages where that
+    is greater; one without any, or null, takes that of all.  Without held-out
+    documents nothing can be judged and every document that has text is kept.
     Other columns are ignored; rows that repeat a doc_id are judged each by its text.
     """
     spark = docs.sparkSession
@@ -235,11 +236,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     model = stored(train(count_runs(docs, ids)), "model")
     told = stored(perplexities(docs, model), "perplexities")
     known = told.join(trust.filter(held_out), "doc_id", "left_semi").filter("perplexity is not null")
-    at = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
+    at = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     # one row a language; grouped by both null and set ones
-    by_lang = known.filter("lang is not null").groupBy("lang").agg(at)
-    overall = known.agg(at).first()[0]
-    judged = told.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")) * F.exp(F.lit(slack) / F.col("n_bytes")))
+    by_lang = known.filter("lang is not null").groupBy("lang").agg(at, F.count("*").alias("held"))
+    overall = F.lit(known.agg(at).first()[0]).cast("double")
+    enough = F.col("held") * (1 - quantile) >= 1 - 1e-9
+    least = F.when(enough, F.col("threshold")).otherwise(F.greatest("threshold", overall))
+    judged = told.join(by_lang, "lang", "left").withColumn("threshold", least * F.exp(F.lit(slack) / F.col("n_bytes")))
     fine = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select("doc_id", "lang", "perplexity", "threshold", fine.alias("kept"))
 

@@ -181,6 +181,24 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.4
 
 
+def test_threshold_is_the_held_out_quantile(spark):
+    path = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    told = quality.classify(spark.read.parquet(f"{path}/documents.parquet"), labels, quantile=0.5, slack=0.0).collect()
+    # a perplexity that a document has, not a multiple of one
+    assert {r.threshold for r in told if r.threshold is not None} <= {r.perplexity for r in told}
+    held_out = {r.doc_id for r in quality.trusted_ids(labels).filter("pmod(xxhash64(doc_id, 'fold'), 2) = 1").collect()}
+    assert 0.45 <= np.mean([r.kept for r in told if r.doc_id in held_out]) <= 0.55
+
+
+def test_classifier_keeps_little_junk(spark):
+    path = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    told = quality.classify(spark.read.parquet(f"{path}/documents.parquet"), labels.filter("doc_id % 3 > 0"))
+    held = told.join(labels.filter("doc_id % 3 = 0"), "doc_id").select("quality", "kept").collect()
+    assert np.mean([r.kept for r in held if r.quality == 1]) >= 0.99 and np.mean([r.kept for r in held if r.quality == 0]) <= 0.1
+
+
 def test_classifier_without_labels(spark, texts):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = [r for r in rows_of() if r[0] != 12]
