@@ -4,8 +4,8 @@ The model counts runs of five bytes; a run fits a long, and its context and its
 shorter suffix are shifts and masks of it, so all counts are DataFrame aggregates.
 
 1. Counts come from trusted text: rows labelled of good quality and not toxic.  Half of
-   their doc_ids (by hash) train, at most ``TRUSTED`` of them (those of least hash); the
-   other half, all of it, is held out for the thresholds.
+   their doc_ids (by hash) train, all of them; the other half, all of it, is held out
+   for the thresholds.
 2. Probabilities of all seen runs, and the weight that a seen context leaves to shorter
    ones, come from joins of the counts, order by order.
 3. The different runs of all texts are joined, shard by shard, with the model.  Documents are dealt
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, slices, stored, table, utf8
 
 ORDER = 5
-TRUSTED = 20_000
 QUANTILE = 0.99
 #: Nats by which a text must exceed the threshold in all: a few odd bytes alone say nothing.
 SLACK = 24.0
@@ -68,21 +67,18 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("good")).filter("good").select("doc_id")
 
 
-def count_runs(docs: DataFrame, ids: list[int]) -> DataFrame:
-    """(g, c): how often each run occurs in the documents ``ids``, a bounded list."""
-    wanted = pa.array(sorted(ids), pa.int64())
+def count_runs(docs: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
+    """(g, c): how often each run occurs in the documents ``ids``, a table of doc_id or a short list."""
+    own = docs.join(ids, "doc_id", "left_semi") if isinstance(ids, DataFrame) else docs.filter(F.col("doc_id").isin(ids))
 
     def count(batches):
-        import pyarrow.compute as pc
-
         for batch in batches:
-            own = batch.filter(pc.is_in(batch.column(0), value_set=wanted))
-            buf, off = utf8(own.column(1))
+            buf, off = utf8(batch.column(0))
             for a, b in slices(off):
                 g, n = np.unique(runs(buf[off[a] : off[b]], off[a : b + 1] - off[a]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("c"))
+    return own.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("c"))
 
 
 def _mask(k: int) -> F.Column:
@@ -216,7 +212,7 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, trusted: int = TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """Perplexity and verdict for each of ``docs`` (doc_id, lang, text).
 
     Returns doc_id, lang, perplexity (per byte), threshold and kept, a row per row.
@@ -232,8 +228,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     bounded_batches(spark)
     trust = trusted_ids(labels)
     held_out = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 1
-    ids = [r[0] for r in docs.select("doc_id").join(trust.filter(~held_out), "doc_id", "left_semi").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).collect()]
-    model = stored(train(count_runs(docs, ids)), "model")
+    # the fold of both sides, so that a join that moves texts moves this half only
+    training = docs.select("doc_id", "text").filter(~held_out)
+    model = stored(train(count_runs(training, trust.filter(~held_out))), "model")
     told = stored(perplexities(docs, model), "perplexities")
     known = told.join(trust.filter(held_out), "doc_id", "left_semi").filter("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")

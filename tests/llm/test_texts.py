@@ -181,6 +181,17 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.4
 
 
+def test_model_counts_all_trusted_documents(spark, monkeypatch):
+    """More than 20,000 of them train; a document of five bytes adds five runs."""
+    docs = spark.range(45_000).selectExpr("id as doc_id", "'en' as lang", "concat('#', lpad(conv(id, 10, 36), 4, '0')) as text")
+    labels = spark.range(45_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    counted, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda counts: counted.append(counts.selectExpr("sum(c)").first()[0]) or train(counts))
+    quality.classify(docs, labels)
+    n = labels.filter("pmod(xxhash64(doc_id, 'fold'), 2) = 0").count()
+    assert n > 20_000 and counted == [5 * n]
+
+
 def test_threshold_is_the_held_out_quantile(spark):
     path = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{path}/labels.parquet")
