@@ -99,19 +99,24 @@ class Forest:
 
 def _best(scores, ids, k):
     """Per row of scores (columns in order of ids) the candidates that can be among the best k."""
-    if scores.shape[1] > k:
-        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    # an id that repeats with other vectors counts once, by its best
+    first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+    if len(first) > k:
+        each = scores if len(first) == len(ids) else np.maximum.reduceat(scores, first, axis=1)
+        least = -np.partition(-each, k - 1, axis=1)[:, k - 1 : k]
         return np.nonzero(scores >= least - 1e-9 * (1 + np.abs(least)))
     return np.nonzero(np.isfinite(scores))
 
 
 def _cut(query, ids, score, k):
-    """Rows of the best k of each query, ties to smaller ids, without repeats."""
-    order = np.lexsort((ids, -score, query))
+    """Rows of the best k of each query, ties to smaller ids, each id once by its best score."""
+    order = np.lexsort((-score, ids, query))
     query, ids, score = query[order], ids[order], score[order]
     new = np.ones(len(query), bool)
-    new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
+    new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
     query, ids, score = query[new], ids[new], score[new]
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
     first = np.searchsorted(query, query)
     keep = np.arange(len(query)) - first < k
     return query[keep], ids[keep], score[keep]
@@ -178,13 +183,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
     vectors in double precision, ties to smaller vec_id, the query's own vec_id left
     out.  Vectors that are null, zero or hold null or non-finite components and rows
     with a null vec_id take no part; vectors must else have one length.  Rows that
-    repeat a vec_id give it once.  Of more than ``k`` + 1 copies of one vector only
-    the smallest ids can be among the nearest, and only those are indexed.  Empty
+    repeat a vec_id give it once, with its best score.  Of more than ``k`` + 1 different
+    ids of one vector only the smallest can be among the nearest, and only those are
+    indexed.  Empty
     tables give no rows.  Other columns are ignored.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
-    rows = rows.select("vec_id", "embedding").filter(is_usable())
+    rows = rows.select("vec_id", "embedding").filter(is_usable()).distinct()
     salted = Window.partitionBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(SALT))).orderBy("vec_id")
     whole = Window.partitionBy("embedding").orderBy("vec_id")
     for window in (salted, whole):

@@ -49,6 +49,15 @@ def test_nearest(spark):
     assert hits >= 0.9 * total and set(got) == {i for i in good if i % 20 == 0}
 
 
+def test_nearest_of_copies_whose_rows_repeat(spark):
+    """A group of copies, one id of it 30 times, all others three times; far ones besides, one id with many vectors."""
+    copies = [(i, [1.0, 0.0]) for i in range(100, 130) for _ in range(30 if i == 100 else 3)]
+    many = [(7, [2.0, k / 64]) for k in range(30)]
+    df = vectors(spark, copies + many + [(500 + i, [-1.0, i / 8]) for i in range(40)])
+    got = [(r.vec_id, r.score) for r in forest.nearest(df, df.filter("vec_id = 105").limit(1), recall=1.0).orderBy("rank").collect()]
+    assert got == [(7, 2.0)] + [(i, 1.0) for i in range(100, 120) if i != 105]
+
+
 def test_nearest_of_few(spark):
     few = vectors(spark, [(0, [1, 0]), (1, [0, 1]), (2, [1, 0])])
     got = [(r.query_id, r["rank"], r.vec_id) for r in forest.nearest(few, few.filter("vec_id = 0")).orderBy("rank").collect()]
