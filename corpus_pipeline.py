@@ -28,9 +28,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingle similarity that with the smallest doc_id."""
-    kept = near_texts(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of documents linked by shingle similarity one row, that with the smallest doc_id.
+
+    Rows are told apart by all their columns, so different texts that share a doc_id, or have
+    none, are judged each; a row without doc_id stays if no row of its group has one.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    told = near_texts(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = keyed.select("doc_id", "_row").join(told, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(first.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

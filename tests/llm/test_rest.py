@@ -219,3 +219,16 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, path)
     assert last.count() == sizes[-1] > 0 and sizes[1] < sizes[0]
     assert corpus_pipeline.run(spark, path).count() == sizes[-1]
+
+
+def test_near_duplicates_by_row(spark):
+    """One row per group of near texts, also where ids are shared or missing, and empty texts each."""
+    words = [[f"{c}{k}" for k in range(60)] for c in "abcde"]
+    near = lambda w: " ".join([*w[:-1], "z"])
+    a, b, c, d, e = map(" ".join, words)
+    rows = [(5, a), (3, near(words[0])), (None, a), (7, b), (7, c), (7, c), (None, d), (None, near(words[3])), (None, e), (8, ""), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert [t for i, t in got if i is None and t in (d, near(words[3]))] in ([d], [near(words[3])])
+    rest = sorted((g for g in got if g[1] not in (d, near(words[3]))), key=repr)
+    assert rest == sorted([(3, near(words[0])), (7, b), (7, c), (None, e), (8, ""), (9, None)], key=repr)
