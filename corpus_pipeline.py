@@ -16,7 +16,8 @@ from quarry.llm.quality import keep_good
 from quarry.llm.shingle_join import near_texts
 from quarry.llm.suffix_dedup import drop_repeats
 
-#: No SQL: perplexities, MinHash and transforms are no SQL. The tests hold each stage against a brute-force version.
+#: No SQL: perplexities, MinHash and transforms are no SQL. The tests hold the operators against brute-force versions;
+#: of the stages, only which rows near_duplicates keeps is tested, the others by columns and row counts.
 ORACLE_SQL = None
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
