@@ -105,7 +105,7 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
     special tokens.  Every row gives one row, also where rows repeat.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 4096)
+    bounded_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     long_text = F.length("text") > chunk
 
@@ -213,4 +213,5 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bpe_digests`` of all ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe_digests(table(spark, sf_dir, "documents"))

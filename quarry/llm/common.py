@@ -7,10 +7,14 @@ with offsets per batch, so that no Python object is made per word or byte.
 from __future__ import annotations
 
 import ctypes
+import os
+import re
+import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,52 +26,87 @@ WORD = rf"[^{SPACE}]+"
 BATCH_BYTES = 8 << 20
 
 
-try:
-    _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 1 << 25)  # fixed values: M_MMAP_THRESHOLD; arrays up to 32 MB reuse the heap
-    _libc.mallopt(-8, 2)  # M_ARENA_MAX
-except (OSError, AttributeError):  # another C library
-    _libc = None
-pa.set_memory_pool(pa.system_memory_pool())
+_libc = None
 
 
 def return_memory() -> None:
-    """Give what is free back to the system; called once a batch.
+    """Give what is free back to the system; called once a batch, in Python workers only.
 
-    Idle Python workers stay alive and would keep what they once needed, and several
+    Idle workers stay alive and would keep what they once needed, and several
     of them share an executor's memory.
     """
-    if _libc is not None:
+    global _libc
+    if TaskContext.get() is None:  # the driver's allocator is the caller's
+        return
+    if _libc is None:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.mallopt(-3, 1 << 25)  # fixed values: M_MMAP_THRESHOLD; arrays up to 32 MB reuse the heap
+            _libc.mallopt(-8, 2)  # M_ARENA_MAX
+        except (OSError, AttributeError):  # another C library
+            _libc = False
+    if _libc:
         _libc.malloc_trim(0)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 10_000) -> None:
-    """Bound the batches that Spark hands to Python by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that Spark hands to Python; a smaller bound of the caller's stays.
+
+    The setting is read when a plan runs, which may be after the operator has returned;
+    so all operators set the same value, and none sets a number of rows.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name) or ""
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) a local one is set.
+    Where the session names none, a local one is set if all runs on this machine; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/quarry-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "quarry-shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is not yet in use; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/quarry-{label}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder, read it back.
 
     Unlike a local checkpoint the rows survive the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quarry-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark, label)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, which nothing reads any more."""
+    files, where = _file_system(df.sparkSession, df._stored_at)
+    files.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

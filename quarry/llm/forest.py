@@ -263,5 +263,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all ``embeddings`` for every row whose vec_id is divisible by 20; see ``nearest``."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.filter("vec_id % 20 = 0"))

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -25,7 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: each hangs nodes under the least neighbour seen,
     until every component is a star.  Aggregates combine before they shuffle, so a hub
-    costs one row a task; each round is written to the shared folder.
+    costs one row a task there; the least neighbours are written before they are joined, so that the
+    join is one of two plain exchanges, whose large partitions (a hub's edges) Spark
+    splits.  Each round is written to the shared folder, and the one before it deleted.
     """
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
@@ -33,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if told == state or not told[0]:
             break
-        state = told
-        now = stored(_small_star(_large_star(now)).distinct(), "edges")
+        state, before = told, now
+        now = stored(_small_star(stored(_large_star(now), "star")).distinct(), "edges")
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -93,5 +93,6 @@ def emit_copies(mixed: DataFrame) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix_sources`` over all ``documents``: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
     docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -329,11 +329,13 @@ def near_texts(docs: DataFrame, least: float = LEAST, tolerance: float = TOLERAN
     of_class = classes.join(links, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = of_class.groupBy("component").agg(F.min("class_id").alias("component_id"))
     of_class = of_class.join(names, "component").select("node", "class_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    found = told.select("doc_id", "node").join(of_class, "node").select("doc_id", "n_links", "class_id", "component_id")
+    # written, so that the join is of two plain exchanges: Spark splits the partition of a class with many rows
+    found = told.select("doc_id", "node").join(stored(of_class, "classes"), "node").select("doc_id", "n_links", "class_id", "component_id")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     alone = docs.filter(wordless).select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_texts`` over all ``documents``."""
     return near_texts(table(spark, sf_dir, "documents"))

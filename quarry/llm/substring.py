@@ -91,7 +91,8 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(first[pick])), pa.array(signed(second[pick])), ids.take(take), keys.take(take), pa.array((at - rows[own]).astype(np.int32))], ["h1", "h2", "doc_id", "key", "at"])
 
     held = docs.filter("doc_id is not null").select("doc_id", "key", "text").mapInArrow(emit, "h1 long, h2 long, doc_id long, key long, at int")
-    first = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    # written, so that the join is of two plain exchanges: Spark splits the partition of a very frequent window
+    first = stored(held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"), "first")
     late = held.join(first, ["h1", "h2"]).filter("first < doc_id")
     return late.groupBy("doc_id", "key").agg(F.collect_list("at").alias("at"))
 
@@ -152,4 +153,5 @@ def drop_earlier_windows(docs: DataFrame, window: int = WINDOW, text: bool = Tru
 
 
 def op8_drop_earlier_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``drop_earlier_windows`` over all ``documents`` with windows of 50 words: doc_id, n_words, n_removed, kept_sha256."""
     return drop_earlier_windows(table(spark, sf_dir, "documents"), text=False)

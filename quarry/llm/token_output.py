@@ -191,7 +191,7 @@ def read_token_files(frames: DataFrame) -> DataFrame:
 
     ``start`` counts the ids of all documents before.  A damaged frame fails the task.
     """
-    bounded_batches(frames.sparkSession, 64)
+    bounded_batches(frames.sparkSession)
     files = frames.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
     order = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file_no", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
@@ -224,6 +224,7 @@ def index_of(frame: bytes) -> list[tuple[int | None, int]]:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` written as token files (null text: end id only) and read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
     frames = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, n_ids=49408)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import return_memory
+
 
 def is_usable(vector: str = "embedding", key: str = "vec_id") -> Column:
     """Whether the key is set and the vector is set, finite in every component and not zero."""
@@ -17,6 +19,7 @@ def is_usable(vector: str = "embedding", key: str = "vec_id") -> Column:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column without nulls, all of one length, as float64."""
+    return_memory()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)

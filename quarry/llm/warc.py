@@ -172,7 +172,7 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
     does not match its digest fails the task.  Bytes that the chain of records
     does not reach are no records, so an archive that begins with none has none.
     """
-    bounded_batches(archives.sparkSession, 8)
+    bounded_batches(archives.sparkSession)
     chained = archives.join(chain(candidates(archives)), "archive_no").select("archive", "offsets", "bodies")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     names = [p.split()[0] for p in schema.split(", ")]
@@ -200,4 +200,5 @@ _TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int6
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as WARC files and read back: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
     return read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
