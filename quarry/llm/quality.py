@@ -28,6 +28,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .common import bounded_batches, slices, stored, table, utf8
 
@@ -37,6 +39,8 @@ QUANTILE = 0.99
 SLACK = 24.0
 #: No discount is less, so that every context leaves some weight to what it has not seen.
 LEAST_DISCOUNT = 0.1
+#: Languages whose thresholds are sent to all tasks; more of them are joined.
+MOST_LANGS = 100_000
 #: Bytes of text of a block.
 BLOCK_BYTES = 16 << 20
 #: Blocks of small inputs: as many as there are shuffle partitions, up to these.
@@ -170,13 +174,15 @@ def _unpacked(group: pa.Table):
             yield from reader
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, lang, text) with their perplexity per byte, the text left out; null where there is no byte."""
+def perplexities(docs: DataFrame, model: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, lang, text and the columns ``carry``) with n_bytes and their perplexity per byte, the text left out; null where there is no byte."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(size // BLOCK_BYTES + 1, min(partitions, LEAST_BLOCKS))
-    packed = _packed(docs.select("doc_id", "lang", "text"), blocks)
+    carried = [docs.schema[c] for c in carry]
+    schema = StructType([StructField("doc_id", LongType()), StructField("lang", StringType()), StructField("n_bytes", LongType()), StructField("perplexity", DoubleType()), *carried])
+    packed = _packed(docs.select("doc_id", "lang", "text", *carry), blocks)
 
     def different(batches):
         for batch in batches:
@@ -206,13 +212,14 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
                 total[a:b] = np.diff(sums[off[a : b + 1] - off[a]])
             n = np.diff(off)
             value = np.exp(-total / np.maximum(n, 1))
-            out.append(pa.table({"doc_id": batch.column(0), "lang": batch.column(1), "n_bytes": pa.array(n), "perplexity": pa.array(value, pa.float64(), mask=n == 0)}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n_bytes": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})
+            own = {"doc_id": batch.column(0), "lang": batch.column(1), "n_bytes": pa.array(n), "perplexity": pa.array(value, pa.float64(), mask=n == 0)}
+            out.append(pa.table(own | dict(zip(carry, batch.columns[3:]))))
+        return pa.concat_tables(out) if out else to_arrow_schema(schema).empty_table()
 
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, carry: tuple[str, ...] = ()) -> DataFrame:
     """Perplexity and verdict for each of ``docs`` (doc_id, lang, text).
 
     Returns doc_id, lang, perplexity (per byte), threshold and kept, a row per row.
@@ -222,7 +229,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     quantile, only a largest one, and takes the threshold of all languages where that
     is greater; one without any, or null, takes that of all.  Without held-out
     documents nothing can be judged and every document that has text is kept.
-    Other columns are ignored; rows that repeat a doc_id are judged each by its text.
+    Rows that repeat a doc_id, or have none, are judged each by its text; of the other
+    columns those named in ``carry`` come along.  Texts are read in runs of about 1 MB, but a
+    single longer text is one run, for which a task holds about 60 bytes a byte.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -231,7 +240,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     # the fold of both sides, so that a join that moves texts moves this half only
     training = docs.select("doc_id", "text").filter(~held_out)
     model = stored(train(count_runs(training, trust.filter(~held_out))), "model")
-    told = stored(perplexities(docs, model), "perplexities")
+    told = stored(perplexities(docs, model, carry), "perplexities")
     known = told.join(trust.filter(held_out), "doc_id", "left_semi").filter("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     # one row a language; grouped by both null and set ones
@@ -239,19 +248,25 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     overall = F.lit(known.agg(at).first()[0]).cast("double")
     enough = F.col("held") * (1 - quantile) >= 1 - 1e-9
     least = F.when(enough, F.col("threshold")).otherwise(F.greatest("threshold", overall))
-    judged = told.join(by_lang, "lang", "left").withColumn("threshold", least * F.exp(F.lit(slack) / F.col("n_bytes")))
+    # a row a language; where the text says nothing of how many there are, Spark would deal rows by lang
+    n_langs = (by_lang := stored(by_lang, "thresholds")).count()
+    judged = told.join(F.broadcast(by_lang) if n_langs <= MOST_LANGS else by_lang, "lang", "left").withColumn("threshold", least * F.exp(F.lit(slack) / F.col("n_bytes")))
     fine = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return judged.select("doc_id", "lang", "perplexity", "threshold", fine.alias("kept"))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", fine.alias("kept"), *carry)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns.
 
-    A doc_id whose rows differ in verdict keeps none of them; a null doc_id is not known again and goes.
+    Rows are told apart by doc_id, lang and text, nulls included, so rows that share a doc_id, or
+    have none, are each kept or not by their own text.
     """
-    verdict = classify(docs, labels, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).filter("kept")
-    return docs.join(verdict.select("doc_id"), "doc_id", "left_semi")
+    names = ("doc_id", "lang", "text")
+    keyed = docs.withColumn("_row", F.xxhash64(*names, *(F.col(c).isNull() for c in names)))
+    kept = classify(keyed, labels, carry=("_row",), **options).filter("kept").select("_row").distinct()
+    return keyed.join(stored(kept, "kept"), "_row", "left_semi").drop("_row")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``classify`` over all ``documents`` by all ``labels``: doc_id, lang, perplexity, threshold, kept."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
