@@ -12,12 +12,12 @@ from the round before.  The sequence is held as columns of equal length:
 ``name``   which suffix it is: its place in the joined strings
 
 Each round reads the columns once from front to back and writes them anew; with
-``folder`` they lie in files there between the rounds, else in memory.
+``on_disk`` they lie in files between the rounds, a file a column, else in memory.
 """
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 import numpy as np
 
@@ -26,18 +26,32 @@ _LOW = np.int64(0xFFFFFFFF)
 
 
 class _Store:
-    def __init__(self, folder: str | None):
-        self.folder, self.held = folder, {}
+    """The columns: each a file that is rewritten from front to back and so read again; in memory without ``on_disk``."""
+
+    def __init__(self, on_disk: bool):
+        # without a name and gone with this object, like what a task of Spark's spills
+        self.files = {k: tempfile.TemporaryFile(buffering=0) for k in _COLUMNS} if on_disk else {}
+        self.held, self.n = {}, 0
 
     def put(self, **columns):
         for k, v in columns.items():
-            if self.folder:
-                v.astype(_COLUMNS[k], copy=False).tofile(os.path.join(self.folder, k))
+            v = np.ascontiguousarray(v, _COLUMNS[k])
+            if self.files:
+                self.n = len(v)
+                self.files[k].seek(0)
+                v.tofile(self.files[k])
             else:
-                self.held[k] = v.astype(_COLUMNS[k], copy=False)
+                self.held[k] = v
 
     def get(self, k):
-        return np.fromfile(os.path.join(self.folder, k), _COLUMNS[k]) if self.folder else self.held[k]
+        if not self.files:
+            return self.held[k]
+        self.files[k].seek(0)
+        return np.fromfile(self.files[k], _COLUMNS[k], self.n)
+
+    def close(self):
+        for f in self.files.values():
+            f.close()
 
 
 def _shared(text, ends, a, b, known, cap):
@@ -54,7 +68,7 @@ def _shared(text, ends, a, b, known, cap):
     return n
 
 
-def build(text: np.ndarray, cuts: np.ndarray, cap: int, folder: str | None = None) -> dict[str, np.ndarray]:
+def build(text: np.ndarray, cuts: np.ndarray, cap: int, on_disk: bool = False) -> dict[str, np.ndarray]:
     """Columns for the strings text[cuts[i]:cuts[i + 1]] (symbols from 1 on; ranks, so that 32 bits hold them).
 
     The empty suffixes come first, in the order of the strings; ``name`` of an
@@ -65,7 +79,7 @@ def build(text: np.ndarray, cuts: np.ndarray, cap: int, folder: str | None = Non
     text = np.append(text, 0).astype(np.int32)
     ends = np.append(np.repeat(cuts[1:], lengths), len(text) - 1)
     place = np.arange(m)
-    store = _Store(folder)
+    store = _Store(on_disk)
     last = np.where(lengths > 0, text[np.maximum(cuts[1:] - 1, 0)], 0)
     store.put(key=np.arange(m), bwt=last, lcp=np.zeros(m), name=cuts[1:])
     for length in range(1, int(lengths.max(initial=0)) + 1):
@@ -105,4 +119,6 @@ def build(text: np.ndarray, cuts: np.ndarray, cap: int, folder: str | None = Non
         store.put(key=key, bwt=merged(store.get("bwt"), before), lcp=lcp, name=names)
         place = moved[place]
         place[live] = new
-    return {k: store.get(k) for k in _COLUMNS}
+    columns = {k: store.get(k) for k in _COLUMNS}
+    store.close()
+    return columns

@@ -9,16 +9,17 @@ that can be built apart:
    anchor make a segment: their bytes, at most 600.
 2. A count-min sketch of the anchors drops segments whose anchor occurs once.
 3. Equal segments become one string with its number of occurrences.  Strings of one
-   anchor make a collection.  Its bytes are fetched from one document each.
+   anchor make a collection, also if there is one only.  Its bytes are fetched from one document each.
 4. A collection of more than ``GROUP_MOST`` strings is dealt anew, by the bytes that the
    windows of a quarter of the distances have in common, again and again, so that no
    task gets the contexts of a very frequent passage all together.
 5. Every collection's transform and common prefixes are built (``bwt.build``): one symbol per
-   string and round.  A symbol is ``SYMBOL`` bytes; a segment gives ``SYMBOL`` strings, one for each
-   phase, so every window begins a suffix.  Suffixes that share 400 / ``SYMBOL`` symbols with a neighbour are
-   repeated windows, as are those of strings that occur twice or more.  A collection of a single string needs no look.
+   string and round, the columns in files between the rounds.  A symbol is ``SYMBOL`` bytes; a segment gives
+   a string for each phase in which one of its windows begins, so every window begins a suffix, and each row of
+   the transform stands for as many suffixes as its segment occurs.  Rows that share 400 / ``SYMBOL``
+   symbols with a neighbour, or stand for two suffixes or more, are repeated windows; nothing else decides that.
 
-Segments are told apart by two 64-bit hashes (of anchor and content).
+Segments and symbols are told apart by 64-bit hashes (segments by two: of anchor and content).
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ from .sketch import Marks, keeping, key_filter, octets, rows_in, sketch
 from .substring import _sliding_least
 
 WINDOW = 400
-SYMBOL = 25
+SYMBOL = 50
 #: Strings that a collection may have.
-GROUP_MOST = 512
+GROUP_MOST = 256
 #: Distances that share a part when a collection is dealt anew, level by level; at 1 the part is the window.
 LEVELS = (51, 13, 4, 1)
 #: Bytes of collections that are built in one go.
@@ -86,10 +87,22 @@ def segments(data: np.ndarray, off: np.ndarray, window: int = WINDOW):
     return start, np.diff(np.append(first, len(at))), where - start, anchors[where], runs
 
 
+def pieces(data: np.ndarray, off: np.ndarray, window: int, limit: int = 1 << 20):
+    """Runs of rows of about ``limit`` bytes, longer rows cut such that each window lies in one piece: bytes, offsets, first row, first byte in it."""
+    for a, b in slices(off, limit):
+        size = off[b] - off[a]
+        if b - a > 1 or size <= 2 * limit:
+            yield data[off[a] : off[b]], off[a : b + 1] - off[a], a, 0
+            continue
+        for at in range(0, int(size), limit):
+            part = data[off[a] + at : min(off[a] + at + limit + window - 1, off[b])]
+            yield part, np.array([0, len(part)]), a, at
+
+
 def sketch_anchors(docs: DataFrame, window: int) -> Marks:
     def values(batch):
         data, off = utf8(batch.column(0))
-        return np.concatenate([np.zeros(0, np.uint64), *(segments(data[off[a] : off[b]], off[a : b + 1] - off[a], window)[3] for a, b in slices(off))])
+        return np.concatenate([np.zeros(0, np.uint64), *(segments(part, rows, window)[3] for part, rows, _, _ in pieces(data, off, window))])
 
     return sketch(docs.select("text"), values, octets(docs) * 2 / (window - window // 2 + 2), 2)
 
@@ -101,16 +114,15 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, off = utf8(batch.column(2))
-            for a, b in slices(off):
-                rows = off[a : b + 1] - off[a]
-                start, n, distance, g, runs = segments(data[off[a] : off[b]], rows, window)
+            for part, rows, a, shift in pieces(data, off, window):
+                start, n, distance, g, runs = segments(part, rows, window)
                 keep = np.flatnonzero(shared.value.may_hold(g))
                 start, n, distance, g = start[keep], n[keep], distance[keep], g[keep]
                 row = np.searchsorted(rows, start, "right") - 1
                 c = runs.of(start, n + window - 1) ^ mix(distance.astype(np.uint64))
                 take = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(g)), pa.array(signed(c)), batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (start - rows[row], n, distance))],
+                    [pa.array(signed(g)), pa.array(signed(c)), batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (start - rows[row] + shift, n, distance))],
                     ["g", "c", "doc_id", "key", "at", "windows", "anchor"],
                 )
 
@@ -169,42 +181,47 @@ def _deal_anew(strings: DataFrame, width: int, window: int) -> DataFrame:
 
 
 def symbols(data: np.ndarray, width: int) -> np.ndarray:
-    """Ranks (from 1, in no particular order) of the ``width`` bytes from each byte on; exact."""
-    rank, have = data.astype(np.int64), 1
-    while have < width:
-        step = min(have, width - have)
-        n = len(rank) - step
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        rank = pd.factorize(rank[:n] << 32 | rank[step:])[0].astype(np.int64)
-        have += step
-    return rank + 1
-
-
-def repeated_windows(parts: list[bytes], windows: np.ndarray, often: np.ndarray, window: int = WINDOW, symbol: int = SYMBOL, folder: str | None = None):
-    """Which windows of the strings ``parts`` occur elsewhere: (string, first window, window after) per run of them.
-
-    ``often``: how many occurrences each string has.  Builds one transform over all of them.
+    """Ranks (from 1, in no particular order) of the ``width`` bytes from each byte on; equal if their 64-bit hashes are."""
+    if len(data) < width:
+        return np.zeros(0, np.int64)
+    return pd.factorize(_Runs(data).all(width))[0].astype(np.int64) + 1
+
+
+def repeated_windows(parts: list[bytes], windows: np.ndarray, often: np.ndarray, window: int = WINDOW, symbol: int = SYMBOL, on_disk: bool = False):
+    """Which windows of the strings ``parts`` occur elsewhere: strings, first windows, windows after; a row per run of them.
+
+    ``often``: how many occurrences each string has.  Builds one transform over all of them,
+    in which a string stands for its occurrences: a suffix occurs elsewhere if it shares a
+    window with a neighbour in the transform, or if the rows that are its own stand for two or more.
     """
     size = np.array([len(p) for p in parts])
     base = np.concatenate([[0], np.cumsum(size)])
     data = np.frombuffer(b"".join(parts), np.uint8)
-    rank = symbols(data, symbol)
-    phases = [(b + f, (s - f) // symbol) for b, s in zip(base[:-1].tolist(), size.tolist()) for f in range(min(symbol, s))]
-    first, count = np.array(phases, np.int64).reshape(-1, 2).T
+    windows = np.asarray(windows, np.int64)
+    # a string for each phase in which a window begins
+    phases = np.minimum(symbol, windows)
+    part = np.repeat(np.arange(len(parts)), phases)
+    phase = np.arange(len(part)) - np.repeat(np.cumsum(phases) - phases, phases)
+    first, count = base[part] + phase, (size[part] - phase) // symbol
     cuts = np.concatenate([[0], np.cumsum(count)])
-    where = np.repeat(first, count) + symbol * (np.arange(cuts[-1]) - np.repeat(cuts[:-1], count))
-    columns = build(rank[where], cuts, window // symbol, folder)
+    where = np.repeat(first - symbol * cuts[:-1], count) + symbol * np.arange(cuts[-1])
+    columns = build(symbols(data, symbol)[where], cuts, window // symbol, on_disk)
+    # rows of suffixes that hold a window; neighbours that share one are one run of equal windows
     again = columns["lcp"] >= window // symbol
-    again[:-1] |= again[1:].copy()
+    own = np.append(where, len(data))[columns["name"]]
+    times = np.append(np.repeat(np.asarray(often)[part], count), 0)[columns["name"]]
+    run = np.cumsum(~again) - 1
+    repeated = np.bincount(run, times)[run] > 1
     hit = np.zeros(len(data) + 1, bool)
-    hit[where[columns["name"][again]]] = True
-    out = []
-    for k in range(len(parts)):
-        own = hit[base[k] : base[k] + windows[k]] | (often[k] > 1)
-        edges = np.flatnonzero(np.diff(own, prepend=False, append=False))
-        out += [(k, int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
-    return out
+    hit[own[repeated]] = True
+    # only places that begin a window; the gap byte keeps strings apart
+    begins = np.zeros(len(data) + len(parts) + 1, np.int8)
+    at = np.arange(len(data)) - np.repeat(base[:-1], size)
+    begins[np.arange(len(data)) + np.repeat(np.arange(len(parts)), size)] = hit[:-1] & (at < np.repeat(windows, size))
+    edges = np.diff(begins, prepend=0)
+    a, b = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
+    k = np.searchsorted(base + np.arange(len(base)), a, "right") - 1
+    return k, a - base[k] - k, b - base[k] - k
 
 
 def _built(strings: DataFrame, window: int, symbol: int) -> DataFrame:
@@ -221,10 +238,10 @@ def _built(strings: DataFrame, window: int, symbol: int) -> DataFrame:
             to = int(np.searchsorted(size[starts], size[starts[at]] + TOGETHER, "right")) - 1
             to = min(len(starts) - 1, max(to, at + 1))
             a, b = starts[at], starts[to]
-            found = repeated_windows(t.column("bytes").slice(a, b - a).to_pylist(), windows[a:b], n[a:b], window, symbol)
-            rows += [(g[a + k], c[a + k], f, last) for k, f, last in found]
+            k, first, last = repeated_windows(t.column("bytes").slice(a, b - a).to_pylist(), windows[a:b], n[a:b], window, symbol, on_disk=True)
+            rows.append((g[a + k], c[a + k], first, last))
             at = to
-        cols = list(zip(*rows)) if rows else [[]] * 4
+        cols = [np.concatenate(x) for x in zip(*rows)]
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["g", "c", "first", "last"])
 
     return dealt.mapInArrow(_grouped(check, 1), "g long, c long, first int, last int")
@@ -236,14 +253,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_m
     contents = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("rep"), F.first("windows").alias("windows"), F.first("anchor").alias("anchor"))
     contents = stored(contents, "contents")
 
-    def sized(strings):
-        groups = strings.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
-        return strings.join(groups.drop("total"), "g")
+    def shared(strings):
+        """Those whose anchor occurs twice or more; the anchors are written, so that Spark splits the partition of a frequent one."""
+        groups = strings.groupBy("g").agg(F.sum("n").alias("total")).filter("total > 1").select("g")
+        return strings.join(stored(groups, "anchors"), "g")
 
-    known = sized(contents)
-    everywhere = lambda df: df.filter("kinds = 1").select("g", "c", F.lit(0).alias("first"), F.col("windows").alias("last"))
-    results = [everywhere(known)]
-    strings = stored(_fetch(docs, known.filter("kinds > 1").drop("kinds"), window), "strings")
+    results = []
+    strings = stored(_fetch(docs, shared(contents), window), "strings")
     lineage = None
     for width in LEVELS:
         width = min(width, window - window // 2 + 1)
@@ -262,9 +278,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_m
         lineage = stored(step, "lineage")
         # n adds up over the strings that have the part
         merged = parts.groupBy("g", "c").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"))
-        told = stored(sized(merged), "strings")
-        results.append(back(everywhere(told), lineage))
-        strings = told.filter("kinds > 1").drop("kinds")
+        strings = stored(shared(stored(merged, "merged")), "strings")
     if strings is not None:  # parts of one window: a collection holds equal ones only, unless hashes collide
         results.append(back(_built(strings, window, symbol), lineage))
     spans = results[0]
@@ -274,7 +288,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_m
     return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") - 1).alias("b"))).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_most: int = GROUP_MOST, rest: bool = True, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_repeats(
+    docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_most: int = GROUP_MOST, rest: bool = True, as_text: bool = False, carry: tuple[str, ...] = (), least_words: int = 0
+) -> DataFrame:
     """Remove every byte of ``docs`` (doc_id, text) that a ``window``-byte string covers which starts elsewhere too.
 
     "Elsewhere" is any other place, also in the same document; windows are judged on the input
@@ -283,6 +299,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, gr
     their text, without characters that lost a byte.  Null text is
     empty; texts shorter than a window keep all.  Each row counts as a document of
     its own, also if it repeats another; a null doc_id is one like others.  Of the other columns those named in ``carry`` come along.
+    With ``least_words`` only maximal runs of covered bytes that hold as many words are removed.
+    Texts are searched in pieces of 1 MB; a text itself, its spans and the rest are held whole by one task.
     """
     bounded_batches(docs.sparkSession)
     carried = [docs.schema[c] for c in carry]
@@ -312,6 +330,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, gr
                     end = np.maximum.accumulate(end)
                     new = np.append(True, first[1:] > end[:-1])
                     first, end = first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+                    if least_words:
+                        long = np.array([len(text[x:y].split()) >= least_words for x, y in zip(first.tolist(), end.tolist())])
+                        first, end = first[long], end[long]
                     removed, spans_ = int((end - first).sum()), len(first)
                     text = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*first.tolist(), len(text)]))
                 out.append((off[i + 1] - off[i], removed, spans_, hashlib.sha256(text).hexdigest(), text.decode(errors="ignore") if as_text else text))
@@ -329,4 +350,5 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, gr
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``drop_repeats`` over all ``documents`` with strings of 400 bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return drop_repeats(table(spark, sf_dir, "documents"), rest=False)
