@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import answering, chunks, evaluate, golden, models, retrieval, safety, sections, slips
+from .operators import answering, chunks, evaluate, golden, index, models, retrieval, safety, sections, slips
 from .plans import answer as plans
+from .sources import jsonl
+from .sources import pages as page_files
+from .sources.folders import new_path, state_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -55,6 +58,23 @@ def _chunks(spark, d):
     return docs.select(T.chunk_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("chunk_id"), "text", F.col("source").alias("source_file"), F.col("lang").alias("section"), F.col("doc_id").alias("chunk_ord"))
 
 
+_stored: dict[tuple, str] = {}
+
+
+def _folder(spark, d, name, build):
+    """The folder of a stored index of the documents, which is built where this session has none of the table as it is now."""
+    key = (spark.sparkContext.applicationId, name, d, state_of(spark, f"{d}/documents.parquet"))
+    if key not in _stored:
+        folder = new_path(spark, name)
+        build(folder)
+        _stored[key] = folder
+    return _stored[key]
+
+
+def _lexical(spark, d):
+    return index.open_lexical_index(spark, _folder(spark, d, "lexical", lambda folder: index.build_lexical_index(_chunks(spark, d), folder)))
+
+
 _CHUNKS = "chunks AS (SELECT source || '::' || lang || '::' || doc_id AS chunk_id, text, source AS source_file, lang AS section, doc_id AS chunk_ord FROM documents)"
 
 
@@ -100,7 +120,7 @@ _ALL = f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25}, {_DENSE}, {_FUSED}, {_RERANKED}
 
 
 def _hits(spark, d):
-    return retrieval.retrieve_reranked(_questions(spark, d), _chunks(spark, d), _dense(spark, d), models.lexical_score)
+    return retrieval.retrieve_reranked(_questions(spark, d), _chunks(spark, d), _lexical(spark, d), _dense(spark, d), models.lexical_score)
 
 
 # Retrieval -------------------------------------------------------------------------------------------
@@ -114,26 +134,28 @@ def _(spark, d):
 
 @_query("bm25_stats", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25} SELECT tok, df, round(idf, 6) AS idf FROM stats")
 def _(spark, d):
-    posted = retrieval.postings(_chunks(spark, d))
-    return retrieval.bm25_stats(posted, retrieval.corpus_size(_chunks(spark, d))).withColumn("idf", F.round("idf", 6))
+    return _lexical(spark, d).stats.withColumn("idf", F.round("idf", 6))
 
 
 @_query("load_lexical_index", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25} SELECT tok, chunk_id, chunk_ord, dl, tf FROM post")
 def _(spark, d):
-    return retrieval.postings(_chunks(spark, d)).withColumn("dl", F.col("dl").cast("long"))
+    """Dropped, built and reopened, whatever other queries have stored."""
+    folder = new_path(spark, "lexical")
+    index.build_lexical_index(_chunks(spark, d).limit(1), folder)
+    index.build_lexical_index(_chunks(spark, d), folder)
+    return index.open_lexical_index(spark, folder).postings.withColumn("dl", F.col("dl").cast("long"))
 
 
 @_query("bm25_score", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25} SELECT qid, chunk_id, round(score, 4) AS score FROM summed")
 def _(spark, d):
-    rows = _chunks(spark, d)
-    posted, size = retrieval.postings(rows), retrieval.corpus_size(rows)
-    scored = retrieval.bm25_score(_questions(spark, d), posted, retrieval.bm25_stats(posted, size), size)
+    own = _lexical(spark, d)
+    scored = retrieval.bm25_score(_questions(spark, d), own.postings, own.stats, own.size)
     return scored.select("qid", "chunk_id", F.round("score", 4).alias("score"))
 
 
 @_query("bm25_topk", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25} SELECT qid, rank, chunk_id, score FROM bm25")
 def _(spark, d):
-    return retrieval.bm25_topk(_questions(spark, d), _chunks(spark, d)).select("qid", "rank", "chunk_id", "score")
+    return retrieval.bm25_topk(_questions(spark, d), _lexical(spark, d)).select("qid", "rank", "chunk_id", "score")
 
 
 @_query("dense_topk", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id, {_DISTANCE} AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 20")
@@ -145,13 +167,13 @@ def _(spark, d):
 
 @_query("rrf_fuse", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25}, {_DENSE}, {_FUSED} SELECT qid, chunk_id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(dense_rank, 0) AS dense_rank, round(rrf_score, 9) AS rrf_score FROM fused")
 def _(spark, d):
-    fused = retrieval.rrf_fuse(retrieval.bm25_topk(_questions(spark, d), _chunks(spark, d)), _dense(spark, d))
+    fused = retrieval.rrf_fuse(retrieval.bm25_topk(_questions(spark, d), _lexical(spark, d)), _dense(spark, d))
     return fused.select("qid", "chunk_id", F.coalesce("bm25_rank", F.lit(0)).alias("bm25_rank"), F.coalesce("dense_rank", F.lit(0)).alias("dense_rank"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
 @_query("rrf_topk", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25}, {_DENSE}, {_FUSED} SELECT qid, rank, chunk_id FROM pool")
 def _(spark, d):
-    return retrieval.rrf_topk(retrieval.rrf_fuse(retrieval.bm25_topk(_questions(spark, d), _chunks(spark, d)), _dense(spark, d))).select("qid", "rank", "chunk_id")
+    return retrieval.rrf_topk(retrieval.rrf_fuse(retrieval.bm25_topk(_questions(spark, d), _lexical(spark, d)), _dense(spark, d))).select("qid", "rank", "chunk_id")
 
 
 @_query("retrieve_baseline", f"WITH {_CHUNKS}, {_QUESTIONS}, {_DENSE} SELECT qid, rank, chunk_id, source_file, section, md5(text) AS digest FROM dense JOIN chunks USING (chunk_id) WHERE rank <= 5")
@@ -161,23 +183,23 @@ def _(spark, d):
 
 @_query("retrieve_hybrid", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25}, {_DENSE}, {_FUSED} SELECT qid, rank, chunk_id, source_file, section FROM pool JOIN chunks USING (chunk_id) WHERE rank <= 5")
 def _(spark, d):
-    return retrieval.retrieve_hybrid(_questions(spark, d), _chunks(spark, d), _dense(spark, d)).select("qid", "rank", "chunk_id", "source_file", "section")
+    return retrieval.retrieve_hybrid(_questions(spark, d), _chunks(spark, d), _lexical(spark, d), _dense(spark, d)).select("qid", "rank", "chunk_id", "source_file", "section")
 
 
 @_query("hydrate_hits", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25} SELECT qid, rank, chunk_id, source_file, section, md5(text) AS digest FROM bm25 JOIN chunks USING (chunk_id)")
 def _(spark, d):
     rows = _chunks(spark, d)
-    return retrieval.hydrate(retrieval.bm25_topk(_questions(spark, d), rows), rows).select("qid", "rank", "chunk_id", "source_file", "section", F.md5("text").alias("digest"))
+    return retrieval.hydrate(retrieval.bm25_topk(_questions(spark, d), _lexical(spark, d)), rows).select("qid", "rank", "chunk_id", "source_file", "section", F.md5("text").alias("digest"))
 
 
 @_query("rerank_pool", f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25}, {_DENSE}, {_FUSED} SELECT qid, chunk_id, rank FROM pool")
 def _(spark, d):
-    return retrieval.retrieve_hybrid(_questions(spark, d), _chunks(spark, d), _dense(spark, d), retrieval.POOL).select("qid", "chunk_id", "rank")
+    return retrieval.retrieve_hybrid(_questions(spark, d), _chunks(spark, d), _lexical(spark, d), _dense(spark, d), retrieval.POOL).select("qid", "chunk_id", "rank")
 
 
 @_query("rerank_score", _ALL + "SELECT qid, chunk_id, round(rerank_score, 6) AS rerank_score FROM judged")
 def _(spark, d):
-    pool = retrieval.retrieve_hybrid(_questions(spark, d), _chunks(spark, d), _dense(spark, d), retrieval.POOL).join(_questions(spark, d), "qid")
+    pool = retrieval.retrieve_hybrid(_questions(spark, d), _chunks(spark, d), _lexical(spark, d), _dense(spark, d), retrieval.POOL).join(_questions(spark, d), "qid")
     return pool.select("qid", "chunk_id", F.round(models.lexical_score(F.col("question"), F.col("text")), 6).alias("rerank_score"))
 
 
@@ -188,19 +210,35 @@ for _name in ("rerank_topk", "retrieve_reranked"):
         return _hits(spark, d).select("qid", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@_query("dense_embed")
+_EMBEDDED = """placed AS (SELECT chunk_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 64) AS p FROM chunks),
+embedded AS (SELECT chunk_id, list_transform(range(0, 64), lambda i: len(list_filter(p, lambda x: x = i))) AS e FROM placed)"""
+_DIGEST = "md5(array_to_string(e, ' ')) AS digest"
+
+
+def _digest():
+    """Counts are whole numbers, so that they print alike everywhere."""
+    return F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ")).alias("digest")
+
+
+@_query("dense_embed", f"WITH {_CHUNKS}, {_EMBEDDED} SELECT chunk_id, {_DIGEST} FROM embedded")
 def _(spark, d):
-    return _read(spark, d, "documents").select("doc_id", models.hashed_embedding(F.col("text")).alias("embedding"))
+    return _chunks(spark, d).select("chunk_id", models.hashed_embedding(F.col("text")).alias("embedding")).select("chunk_id", _digest())
 
 
-@_query("build_vector_index")
+@_query("build_vector_index", f"WITH {_CHUNKS}, {_EMBEDDED} SELECT chunk_id, {_DIGEST} FROM embedded")
 def _(spark, d):
-    return _read(spark, d, "documents").select(T.chunk_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("chunk_id"), models.hashed_embedding(F.col("text")).alias("embedding"))
+    """Built of other rows first, then anew of all: the old ones are gone."""
+    folder = new_path(spark, "vectors")
+    index.build_vector_index(_chunks(spark, d).limit(3), models.hashed_embedding, folder)
+    index.build_vector_index(_chunks(spark, d), models.hashed_embedding, folder)
+    return spark.read.parquet(f"{folder}/vectors").select("chunk_id", _digest())
 
 
-@_query("open_vector_index", "SELECT label, count(*) AS n, min(vec_id) AS first, max(len(embedding)) AS dim FROM embeddings GROUP BY label")
+@_query("open_vector_index", f"WITH {_CHUNKS}, {_EMBEDDED} SELECT count(*) AS n, min(chunk_id) AS first, max(len(e)) AS dim, sum(list_sum(e))::BIGINT AS words FROM embedded")
 def _(spark, d):
-    return _read(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max(F.size("embedding")).cast("long").alias("dim"))
+    own = index.open_vector_index(spark, _folder(spark, d, "vectors", lambda folder: index.build_vector_index(_chunks(spark, d), models.hashed_embedding, folder)))
+    words = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x)
+    return own.agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"), F.max(F.size("embedding")).cast("long").alias("dim"), F.sum(words).cast("long").alias("words"))
 
 
 # Gate, context, answers ------------------------------------------------------------------------------
@@ -243,25 +281,51 @@ def _(spark, d):
     return _read(spark, d, "events").select("event_id", answering.low_confidence(F.col("value"), 7.5).alias("low"))
 
 
-@_query("reason_format")
+@_query("reason_format", "SELECT event_id, 'low_confidence_retrieval (top rerank_score=' || printf('%.2f', value) || ')' AS reason FROM events")
 def _(spark, d):
     return _read(spark, d, "events").select("event_id", answering.low_confidence_reason(F.col("value")).alias("reason"))
 
 
-@_query("generate")
-def _(spark, d):
+_ANSWERED = rf"""ctx AS (SELECT qid, string_agg('[' || source_file || ' :: ' || section || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, list_sort(list_distinct(list(source_file || ' :: ' || section))) AS cites FROM hits GROUP BY qid),
+cut AS (SELECT qid, string_split(regexp_replace(regexp_replace(context, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS ss FROM ctx),
+sentences AS (SELECT qid, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM cut),
+shared AS (SELECT qid, s, i, len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), regexp_extract_all(lower(s), '[a-z0-9]+'))) AS n FROM sentences JOIN questions USING (qid) WHERE s <> ''),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, i) AS r FROM shared) WHERE r = 1 AND n > 0),
+generated AS (SELECT ctx.qid, coalesce(s, '{models.REFUSAL}') AS answer, context, question FROM ctx LEFT JOIN best USING (qid) JOIN questions q ON q.qid = ctx.qid),
+gated AS (SELECT q.qid, h.rerank_score AS sc, h.qid IS NULL OR h.rerank_score < -7.5 AS escalated FROM questions q LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (qid) WHERE length(regexp_replace(q.question, '\s', '', 'g')) > 0),
+answers AS (SELECT g.qid, CASE WHEN g.escalated THEN '{answering.ESCALATION_MESSAGE.replace("'", "''")}' ELSE answer END AS answer, CASE WHEN g.escalated THEN '' ELSE array_to_string(cites, '|') END AS citations, round(sc, 6) AS confidence_score, g.escalated,
+  CASE WHEN sc IS NULL THEN 'no_results_retrieved' WHEN g.escalated THEN 'low_confidence_retrieval (top rerank_score=' || printf('%.2f', sc) || ')' END AS escalation_reason FROM gated g LEFT JOIN generated USING (qid) LEFT JOIN ctx USING (qid))"""
+_SAID = f"{_ALL.rstrip()}, {_ANSWERED} "
+
+
+def _generated(spark, d):
+    """qid, question, context, answer of all questions, none escalated."""
     ready = answering.context(_hits(spark, d)).join(_questions(spark, d), "qid")
-    return models.extractive(ready).select("qid", "answer")
+    return models.extractive(ready).select("qid", "question", "context", "answer")
 
 
-@_query("answer_question")
+@_query("generate", _SAID + "SELECT qid, answer FROM generated")
 def _(spark, d):
-    return plans.ask(_questions(spark, d), _chunks(spark, d), _dense(spark, d))
+    return _generated(spark, d).select("qid", "answer")
+
+
+def _asked(spark, d, k=retrieval.TOP):
+    return plans.ask(_questions(spark, d), _chunks(spark, d), _dense(spark, d), k=k, lexical=_lexical(spark, d)).withColumns({"citations": F.array_join("citations", "|"), "confidence_score": F.round("confidence_score", 6)})
 
 
-@_query("http_ask")
+@_query("answer_question", _SAID + "SELECT * FROM answers")
 def _(spark, d):
-    return plans.ask(_questions(spark, d), _chunks(spark, d), _dense(spark, d), k=3)
+    return _asked(spark, d)
+
+
+@_query("http_ask", _SAID.replace("WHERE rank <= 5), ctx AS", "WHERE rank <= 3), ctx AS") + "SELECT * FROM answers")
+def _(spark, d):
+    return _asked(spark, d, 3)
+
+
+@_query("http_health", "SELECT 'ok' AS status")
+def _(spark, d):
+    return spark.createDataFrame([(plans.health(spark)["status"],)], "status string")
 
 
 # Evaluation ------------------------------------------------------------------------------------------
@@ -279,7 +343,7 @@ _EVAL = f"WITH {_CHUNKS}, {_QUESTIONS}, {_BM25}, {_GOLDEN}, {_RANKS} "
 
 def _lexical_hits(spark, d):
     rows = _chunks(spark, d)
-    return retrieval.hydrate(retrieval.bm25_topk(_questions(spark, d), rows), rows)
+    return retrieval.hydrate(retrieval.bm25_topk(_questions(spark, d), _lexical(spark, d)), rows)
 
 
 @_query("first_relevant_rank", _EVAL + "SELECT qid, coalesce(found_at_rank, 0) AS found_at_rank FROM told")
@@ -297,9 +361,12 @@ def _(spark, d):
     return evaluate.first_relevant(_golden(spark, d), _lexical_hits(spark, d)).agg(F.round(evaluate.mrr(), 6).alias("mrr"))
 
 
-@_query("citation_hit_rate", _EVAL + "SELECT round(avg((found_at_rank IS NOT NULL)::INT), 6) AS citation_hit_rate FROM told")
+@_query("citation_hit_rate", _SAID.rstrip() + f", {_GOLDEN} SELECT round(avg((list_contains(string_split(a.citations, '|'), g.source_file || ' :: ' || g.section))::INT), 6) AS citation_hit_rate FROM golden g JOIN answers a USING (qid)")
 def _(spark, d):
-    return evaluate.first_relevant(_golden(spark, d), _lexical_hits(spark, d)).agg(F.round(evaluate.recall(), 6).alias("citation_hit_rate"))
+    """Whether the answers cite the gold: an escalated one cites nothing."""
+    cited = _asked(spark, d).join(_golden(spark, d), "qid")
+    hit = F.array_contains(F.split("citations", r"\|"), T.citation_label(F.col("source_file"), F.col("section")))
+    return cited.agg(F.round(F.avg(hit.cast("double")), 6).alias("citation_hit_rate"))
 
 
 @_query("retrieval_report", _EVAL + "SELECT t.qid, coalesce(t.found_at_rank, 0) AS found_at_rank, c.source_file || ' :: ' || c.section AS top_result FROM told t LEFT JOIN bm25 b ON b.qid = t.qid AND b.rank = 1 LEFT JOIN chunks c USING (chunk_id)")
@@ -316,7 +383,7 @@ SELECT v.variant, count(*) AS total_questions, round(avg((r IS NOT NULL)::INT),
 )
 def _(spark, d):
     rows, dense = _chunks(spark, d), _dense(spark, d)
-    hybrid = retrieval.retrieve_hybrid(_questions(spark, d), rows, dense)
+    hybrid = retrieval.retrieve_hybrid(_questions(spark, d), rows, _lexical(spark, d), dense)
     lists = {"baseline": retrieval.hydrate(dense.filter("rank <= 5"), rows), "hybrid": hybrid, "reranked": _hits(spark, d)}
     lists = {k: v.select("qid", "rank", "source_file", "section") for k, v in lists.items()}
     told = evaluate.compare(_golden(spark, d), lists)
@@ -334,28 +401,31 @@ def _(spark, d):
     return evaluate.gold_context_errors(asked, _chunks(spark, d)).select("qid", "turn")
 
 
-_F1 = """SELECT qid, CASE WHEN len(a) + len(b) > 0 THEN round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) ELSE 0 END AS score FROM (SELECT h.qid, list_distinct(regexp_extract_all(lower(q.question), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(h.text), '[a-z0-9]+')) AS b FROM hits h JOIN questions q USING (qid) WHERE h.rank = 1)"""
+# The benchmark's text stands for the expected answer; what is judged is what was generated, from its own context.
+_WORDS = "judged_words AS (SELECT qid, " + ", ".join(f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+')) AS {n}" for c, n in (("question", "expected"), ("answer", "said"), ("context", "given"))) + " FROM generated)"
+_F1 = "SELECT qid, CASE WHEN len(expected) + len(said) > 0 THEN round(2.0 * len(list_intersect(expected, said)) / (len(expected) + len(said)), 6) ELSE 0 END AS score FROM judged_words"
+
+
+def _share(of):
+    return f"SELECT qid, CASE WHEN len(said) > 0 THEN round(len(list_intersect(said, {of}))::DOUBLE / len(said), 6) ELSE 0 END AS score FROM judged_words"
 
 
-@_query("judge_correctness", _ALL + _F1)
+@_query("judge_correctness", f"{_SAID.rstrip()}, {_WORDS} {_F1}")
 def _(spark, d):
-    top = _hits(spark, d).filter("rank = 1").select("qid", "question", "text")
-    return top.select("qid", F.round(models.token_f1(F.col("question"), F.col("text")), 6).alias("score"))
+    return _generated(spark, d).select("qid", F.round(models.token_f1(F.col("question"), F.col("answer")), 6).alias("score"))
 
 
-@_query("judge_faithfulness", _ALL + "SELECT qid, CASE WHEN len(b) > 0 THEN round(len(list_intersect(b, a))::DOUBLE / len(b), 6) ELSE 0 END AS score FROM (SELECT h.qid, list_distinct(regexp_extract_all(lower(q.question), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(h.text), '[a-z0-9]+')) AS b FROM hits h JOIN questions q USING (qid) WHERE h.rank = 1)")
+@_query("judge_faithfulness", f"{_SAID.rstrip()}, {_WORDS} {_share('given')}")
 def _(spark, d):
-    top = _hits(spark, d).filter("rank = 1").select("qid", "question", "text")
-    return top.select("qid", F.round(models.support(F.col("question"), F.col("text")), 6).alias("score"))
+    return _generated(spark, d).select("qid", F.round(models.support(F.col("context"), F.col("answer")), 6).alias("score"))
 
 
-@_query("judge_relevancy", _ALL + "SELECT qid, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b))::DOUBLE / len(a), 6) ELSE 0 END AS score FROM (SELECT h.qid, list_distinct(regexp_extract_all(lower(q.question), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(h.text), '[a-z0-9]+')) AS b FROM hits h JOIN questions q USING (qid) WHERE h.rank = 1)")
+@_query("judge_relevancy", f"{_SAID.rstrip()}, {_WORDS} {_share('expected')}")
 def _(spark, d):
-    top = _hits(spark, d).filter("rank = 1").select("qid", "question", "text")
-    return top.select("qid", F.round(models.support(F.col("text"), F.col("question")), 6).alias("score"))
+    return _generated(spark, d).select("qid", F.round(models.support(F.col("question"), F.col("answer")), 6).alias("score"))
 
 
-@_query("low_score_report", _ALL + f"SELECT qid, score FROM ({_F1}) WHERE score < 0.7")
+@_query("low_score_report", f"{_SAID.rstrip()}, {_WORDS} SELECT qid, score FROM ({_F1}) WHERE score < 0.7")
 def _(spark, d):
     return _queries["judge_correctness"](spark, d).filter("score < 0.7")
 
@@ -623,19 +693,83 @@ def _(spark, d):
     return chunks.chunks(_documents_as_segments(spark, d))
 
 
-@_query("subchunk_inherit")
+_RUNS = """changed AS (SELECT source, doc_id, lang, text, CASE WHEN row_number() OVER w = 1 OR lang IS DISTINCT FROM lag(lang) OVER w THEN 1 ELSE 0 END AS new FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY doc_id) - 1 AS block FROM changed),
+joined AS (SELECT source || '::' || lang || '::' || block::INT AS block_id, min(lang) AS section, min(doc_id) AS start_page, max(doc_id) AS end_page, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM runs GROUP BY source, lang, block),
+sized AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]')) AS token_count FROM joined)"""
+
+
+@_query("subchunk_inherit", f"WITH {_RUNS} SELECT block_id, section, start_page, end_page FROM sized")
+def _(spark, d):
+    """What chunks, cut or not, have of their block."""
+    own = F.regexp_replace("chunk_id", r"\.\d+$", "").alias("block_id")
+    return chunks.chunks(_documents_as_segments(spark, d)).select(own, "section", F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page")).distinct()
+
+
+@_query("chunk_stats", f"WITH {_RUNS} SELECT count(*) AS total, round(avg(token_count), 6) AS avg_tokens, max(token_count) AS max_tokens, count(section) AS with_section FROM sized")
+def _(spark, d):
+    """With a budget that no block exceeds, so that the chunks are the blocks."""
+    told = chunks.chunk_stats(chunks.chunks(_documents_as_segments(spark, d), budget=1 << 30))
+    return told.withColumns({"avg_tokens": F.round("avg_tokens", 6), "max_tokens": F.col("max_tokens").cast("long")})
+
+
+# Files -----------------------------------------------------------------------------------------------
+
+
+@_query("sink_chunks_jsonl", f"WITH {_CHUNKS} SELECT chunk_id, md5(text) AS digest, source_file, nullif(section, 'fr') AS section FROM chunks")
+def _(spark, d):
+    """Written, then read as lines; null fields are there."""
+    folder = new_path(spark, "chunks")
+    jsonl.write_jsonl(_chunks(spark, d).withColumn("section", F.nullif("section", F.lit("fr"))), folder)
+    lines = spark.read.text(folder).filter(F.contains("value", F.lit('"section":')))
+    row = F.from_json("value", "chunk_id string, text string, source_file string, section string", {"mode": "FAILFAST"}).alias("row")
+    return lines.select(row).select("row.chunk_id", F.md5("row.text").alias("digest"), "row.source_file", "row.section")
+
+
+def _lines(spark, d, blank):
+    """A line of JSON a turn, with ``blank`` a blank one behind every third."""
+    folder = new_path(spark, "lines")
+    line = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    some = F.when(F.lit(blank) & (F.col("turn") % 3 == 0), F.array(line, F.lit(" \t"))).otherwise(F.array(line))
+    _read(spark, d, "conversations").select(F.explode(some).alias("value")).write.mode("overwrite").text(folder)
+    return folder
+
+
+_TURN = "conv_id long, turn long, role string, text string"
+
+
+@_query("scan_jsonl_strict", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def _(spark, d):
-    return chunks.chunks(_documents_as_segments(spark, d)).select("chunk_id", "section", "start_page", "end_page")
+    return jsonl.read_strict(spark, _lines(spark, d, False), _TURN).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
-@_query("chunk_stats")
+@_query("scan_jsonl_lenient", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def _(spark, d):
-    return chunks.chunk_stats(chunks.chunks(_documents_as_segments(spark, d)))
+    return jsonl.read_lenient(spark, _lines(spark, d, True), _TURN).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+_PRINTED = r"SELECT page_number, md5(t) AS digest FROM (SELECT page_number, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS page_number FROM (SELECT string_split(html, chr(10)) AS l FROM pages))) WHERE t <> ''"
+
+
+def _printed(spark, d):
+    """A file a web page; its lines are the pages that a decoder finds."""
+    folder = new_path(spark, "printed")
+    _read(spark, d, "pages").select(F.col("html").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def _decode(raw: bytes) -> list[str]:
+    return raw.decode().split("\n")
 
 
-@_query("sink_chunks_jsonl")
+@_query("scan_pdf_pages", _PRINTED)
 def _(spark, d):
-    return chunks.chunks(sections.segments(_pages(spark, d))).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+    return page_files.scan_pdf_pages(spark, f"{_printed(spark, d)}/*.txt", _decode).select(F.col("page_number").cast("long").alias("page_number"), F.md5("text").alias("digest"))
+
+
+@_query("scan_corpus_dir", _PRINTED)
+def _(spark, d):
+    return page_files.scan_corpus_dir(spark, _printed(spark, d), _decode, "*.txt").select(F.col("page_number").cast("long").alias("page_number"), F.md5("text").alias("digest"))
 
 
 # Slips -----------------------------------------------------------------------------------------------
@@ -802,30 +936,64 @@ def _(spark, d):
     return _contacts(spark, d).select("doc_id", safety.pii_count("text", "EMAIL_ADDRESS").cast("long").alias("n"))
 
 
-@_query("pii_phone")
+_PHONE = r"\b9[678]\d{8}\b|\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}\b"
+_NAMED = r"(?:Employee: |Name: )[A-Z][a-z]+(?: [A-Z][a-z]+)+"
+
+
+@_query("pii_phone", f"WITH {_CONTACTS} SELECT doc_id, len(regexp_extract_all(text, '{_PHONE}')) AS n FROM told")
 def _(spark, d):
     return _contacts(spark, d).select("doc_id", safety.pii_count("text", "PHONE_NUMBER").cast("long").alias("n"))
 
 
-@_query("pii_person")
+@_query("pii_person", f"WITH {_CONTACTS} SELECT doc_id, len(regexp_extract_all(text, '{_NAMED}')) AS n FROM told")
 def _(spark, d):
     return _contacts(spark, d).select("doc_id", safety.pii_count("text", "PERSON").cast("long").alias("n"))
 
 
-@_query("detect_pii")
+def _places(name, pattern, kind, score, label="0"):
+    """All finds of a pattern with their offsets, from the pieces between them; ``label``: characters of a find that are not of it."""
+    at = "coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    return f"""{name} AS (SELECT doc_id, '{kind}' AS entity_type, (b + {label})::INT AS "start", (b + length(t))::INT AS "end", {score}::DOUBLE AS score, substr(t, {label} + 1) AS text FROM (
+  SELECT doc_id, m[i] AS t, {at} AS b FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS s FROM told))))"""
+
+
+def _free(name, found, taken):
+    return f"""{name} AS (SELECT * FROM {taken} UNION ALL SELECT * FROM {found} f WHERE NOT EXISTS (SELECT 1 FROM {taken} t WHERE t.doc_id = f.doc_id AND f."start" < t."end" AND f."end" > t."start"))"""
+
+
+_FOUND = ", ".join(
+    [
+        _places("f1", _EMAIL, "EMAIL_ADDRESS", 1.0),
+        _places("f2", r"\b\d{9}\b", "NEPAL_PAN", 0.5),
+        _places("f3", _PHONE, "PHONE_NUMBER", 0.4),
+        _places("f4", _NAMED, "PERSON", 0.85, "CASE WHEN starts_with(t, 'Name') THEN 6 ELSE 10 END"),
+        _free("t2", "f2", "f1"),
+        _free("t3", "f3", "t2"),
+        _free("t4", "f4", "t3"),
+    ]
+)
+
+
+@_query("detect_pii", f"WITH {_CONTACTS}, {_FOUND} SELECT * FROM t4")
 def _(spark, d):
     return _contacts(spark, d).select("doc_id", F.explode(safety.entities("text")).alias("e")).select("doc_id", "e.*")
 
 
-@_query("redact_pii")
+@_query(
+    "redact_pii",
+    rf"WITH {_CONTACTS} SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '<EMAIL_ADDRESS>', 'g'), '\b\d{{9}}\b', '<NEPAL_PAN>', 'g'), '{_PHONE}', '<PHONE_NUMBER>', 'g'), '(Employee: |Name: )[A-Z][a-z]+(?: [A-Z][a-z]+)+', '\1<PERSON>', 'g')) AS digest FROM told",
+)
 def _(spark, d):
-    return _contacts(spark, d).select("doc_id", safety.redact("text").alias("text"))
+    return _contacts(spark, d).select("doc_id", F.md5(safety.redact("text")).alias("digest"))
 
 
-@_query("trace_spans", "SELECT count(*) AS turns, count(DISTINCT conv_id) AS conversations FROM conversations")
+@_query("trace_spans", "SELECT count(*) AS turns, count(*) FILTER (length(regexp_replace(text, '\\s', '', 'g')) > 0) AS asked, max(turn) AS last_turn FROM conversations")
 def _(spark, d):
-    """Row counts observed on the way: traces hold no raw text."""
-    return _read(spark, d, "conversations").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"))
+    """Observed while the rows pass: traces hold counts, no raw text."""
+    before, behind = Observation("turns"), Observation("asked")
+    passing = _read(spark, d, "conversations").observe(before, F.count("*").alias("turns"), F.max("turn").alias("last_turn")).filter(F.length(T.strip("text")) > 0).observe(behind, F.count("*").alias("asked"))
+    passing.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(before.get["turns"], behind.get["asked"], before.get["last_turn"])], "turns long, asked long, last_turn long")
 
 
 @_query("blank_questions", "SELECT conv_id, turn FROM conversations WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0")

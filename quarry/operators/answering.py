@@ -29,8 +29,8 @@ def low_confidence(score: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def low_confidence_reason(score: Column) -> Column:
-    """Half-way values round up here, where Python rounds them to even."""
-    return F.concat(F.lit("low_confidence_retrieval (top rerank_score="), F.format_string("%.2f", score), F.lit(")"))
+    two_decimals = F.replace(F.format_number(score, 2), F.lit(","), F.lit(""))  # half-way values to even
+    return F.concat(F.lit("low_confidence_retrieval (top rerank_score="), two_decimals, F.lit(")"))
 
 
 def gate(questions: DataFrame, hits: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citation_label, snippet, strip
 
+# Names of fields, and what difficulties there are.
 REQUIRED = ["id", "question", "expected_answer", "source_file", "source_clause", "category", "difficulty"]
 MAY_NOT_BE_EMPTY = ["question", "expected_answer", "source_file", "source_clause", "category"]
 DIFFICULTIES = ["easy", "medium", "hard"]

@@ -20,9 +20,9 @@ REFUSAL = "The provided context does not contain enough information to answer."
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """Counts of words in ``dim`` hashed places."""
+    """Counts of words in ``dim`` hashed places (up to 65536): the first four digits of a word's MD5."""
     words = F.coalesce(tokens(text), F.array().cast("array<string>"))
-    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
+    place = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dim)))
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("float"))
 
 

@@ -16,6 +16,8 @@ from ..functions.text import tokens
 # Fixed values.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, POOL, RRF_K, TOP = 20, 15, 60, 5
+#: Blocks of 512 queries that are sent to all tasks (about 0.5 MB each at 128 components).
+SENT_BLOCKS = 64
 
 
 def ranked(df: DataFrame, k: int, *order: Column, by: str = "qid", name: str = "rank") -> DataFrame:
@@ -44,26 +46,39 @@ def bm25_stats(posted: DataFrame, size: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_score(questions: DataFrame, posted: DataFrame, stats: DataFrame, size: DataFrame) -> DataFrame:
-    """qid, chunk_id, chunk_ord, score of every chunk that holds a word of the question; repeated words count again."""
+#: Question words that are sent to all tasks instead of shuffling the postings; a word takes some 50 bytes.
+SENT_WORDS = 200_000
+
+
+def _weighed(questions: DataFrame, posted: DataFrame, stats: DataFrame, size: DataFrame) -> DataFrame:
+    """qid, chunk_id, chunk_ord, part: a row for each word of a question in each chunk that holds it."""
     asked = questions.select("qid", F.explode(tokens("question")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf"))
-    weighed = asked.join(stats.select("tok", "idf"), "tok").join(posted, "tok").crossJoin(F.broadcast(size.select("avgdl")))
+    few = asked.limit(SENT_WORDS + 1).count() <= SENT_WORDS
+    sent = F.broadcast if few else lambda df: df
+    words = asked.join(stats.select("tok", "idf"), "tok")
+    weighed = posted.join(sent(words), "tok").crossJoin(F.broadcast(size.select("avgdl")))  # one row
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighed.groupBy("qid", "chunk_id", "chunk_ord").agg(F.sum(part).alias("score"))
+    return weighed.select("qid", "chunk_id", "chunk_ord", part.alias("part"))
+
+
+def bm25_score(questions: DataFrame, posted: DataFrame, stats: DataFrame, size: DataFrame) -> DataFrame:
+    """qid, chunk_id, chunk_ord, score of every chunk that holds a word of the question; repeated words count again."""
+    return _weighed(questions, posted, stats, size).groupBy("qid", "chunk_id", "chunk_ord").agg(F.sum("part").alias("score"))
 
 
-def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def bm25_topk(questions: DataFrame, index, k: int = CANDIDATES) -> DataFrame:
     """The best k by score (rounded, as sums of doubles have no fixed order), ties in corpus order.
 
-    Lists are padded with chunks that score 0, first in corpus order: among the first 2k chunks
-    there are k without a match wherever fewer than k match.
+    ``index``: what ``index.lexical_index`` or ``open_lexical_index`` gives.  Lists are padded
+    with chunks that score 0, first in corpus order: among the first 2k chunks
+    there are k without a match wherever fewer than k match.  These enter with
+    nothing added, so one aggregation serves both.
     """
-    posted, size = postings(chunks), corpus_size(chunks)
-    scored = bm25_score(questions, posted, bm25_stats(posted, size), size).withColumn("score", F.round("score", 6))
-    best = ranked(scored, k, F.desc("score"), F.asc("chunk_ord"))
-    first = chunks.select("chunk_id", "chunk_ord").orderBy("chunk_ord").limit(2 * k)  # bounded
-    padding = questions.select("qid").crossJoin(F.broadcast(first)).join(scored.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(best.drop("rank").unionByName(padding.select("qid", "chunk_id", "chunk_ord", "score")), k, F.desc("score"), F.asc("chunk_ord"))
+    first = index.first.orderBy("chunk_ord").limit(2 * k)  # bounded
+    nothing = questions.select("qid").crossJoin(F.broadcast(first)).select("qid", "chunk_id", "chunk_ord", F.lit(0.0).alias("part"))
+    parts = _weighed(questions, index.postings, index.stats, index.size).unionByName(nothing)
+    scored = parts.groupBy("qid", "chunk_id", "chunk_ord").agg(F.round(F.sum("part"), 6).alias("score"))
+    return ranked(scored, k, F.desc("score"), F.asc("chunk_ord"))
 
 
 def squared_distance(a, b) -> Column:
@@ -75,11 +90,14 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, quer
     """Exact nearest by squared distance: queries (qid, query), vectors (vec_id, embedding). Ties to the smaller id.
 
     A stated set of queries against all rows: in blocks of ``query_block`` queries, one row a block, that every
-    row meets; the best k are kept per task before they move.
+    row meets; the best k are kept per task before they move.  The blocks are sent out while they are
+    few, else Spark chooses how they meet the rows.
     """
-    numbered = queries.select("qid", "query").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, queries.count() // query_block + 1))))
+    n_blocks = max(1, queries.count() // query_block + 1)
+    numbered = queries.select("qid", "query").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
     blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("qid", "query")).alias("asked")).select("asked")
-    met = vectors.select("vec_id", "embedding").join(blocks, how="cross").select("vec_id", "embedding", F.explode("asked").alias("q"))
+    sent = F.broadcast(blocks) if n_blocks <= SENT_BLOCKS else blocks
+    met = vectors.select("vec_id", "embedding").join(sent, how="cross").select("vec_id", "embedding", F.explode("asked").alias("q"))
     scored = met.select("q.qid", "vec_id", F.round(squared_distance(F.col("q.query"), F.col("embedding")), 6).alias("distance"))
     return ranked(scored, k, F.asc("distance"), F.asc("vec_id"))
 
@@ -109,11 +127,11 @@ def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column], k: int =
     return ranked(scored.withColumnRenamed("rank", "rrf_rank"), k, F.desc(F.nanvl("rerank_score", F.lit(float("-inf")))), F.asc("rrf_rank"))
 
 
-def retrieve_hybrid(questions: DataFrame, chunks: DataFrame, dense: DataFrame, k: int = TOP) -> DataFrame:
-    """``dense``: qid, chunk_id, rank of the other list."""
-    return hydrate(rrf_topk(rrf_fuse(bm25_topk(questions, chunks), dense), k), chunks)
+def retrieve_hybrid(questions: DataFrame, chunks: DataFrame, index, dense: DataFrame, k: int = TOP) -> DataFrame:
+    """``index``: the lexical index of ``chunks``; ``dense``: qid, chunk_id, rank of the other list."""
+    return hydrate(rrf_topk(rrf_fuse(bm25_topk(questions, index), dense), k), chunks)
 
 
-def retrieve_reranked(questions: DataFrame, chunks: DataFrame, dense: DataFrame, scorer, k: int = TOP, pool: int = POOL) -> DataFrame:
+def retrieve_reranked(questions: DataFrame, chunks: DataFrame, index, dense: DataFrame, scorer, k: int = TOP, pool: int = POOL) -> DataFrame:
     """At most ``pool`` hits come back, whatever k is."""
-    return rerank(retrieve_hybrid(questions, chunks, dense, pool).join(questions, "qid"), scorer, k)
+    return rerank(retrieve_hybrid(questions, chunks, index, dense, pool).join(questions, "qid"), scorer, k)

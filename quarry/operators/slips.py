@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import amount, map_sum, strip
 
 FIELDS = ["basic_salary", "allowances_total", "gross_salary", "ssf_employee_contribution", "ssf_employer_contribution", "tds_deducted", "other_deductions_total", "net_pay"]
-# The tolerance, and labels as patterns over a line's part before the colon.
+# The tolerance, and labels (a line's part before the colon, in lower case, single-spaced).
 TOLERANCE = 1.0
 LABELS = {
-    "basic_salary": r"(?i)\A\s*basic(\s+salary)?\s*\z",
-    "gross_salary": r"(?i)\A\s*gross(\s+salary)?\s*\z",
-    "ssf_employee_contribution": r"(?i)\A\s*ssf\s+(employee\s+contribution(\s*\(11%\))?|\((employee|emp\s+11%)\))\s*\z",
-    "ssf_employer_contribution": r"(?i)\A\s*(employer\s+ssf\s+contribution(\s*\(20%\))?|ssf\s+\((employer|co\s+20%)\))\s*\z",
-    "tds_deducted": r"(?i)\A\s*tds(\s+deducted\s+this\s+month)?\s*\z",
-    "net_pay": r"(?i)\A\s*(net\s+(pay|salary)|take\s+home)\s*\z",
+    "basic_salary": ["basic", "basic salary"],
+    "gross_salary": ["gross", "gross salary"],
+    "ssf_employee_contribution": ["ssf employee contribution", "ssf employee contribution (11%)", "ssf (employee)", "ssf (emp 11%)"],
+    "ssf_employer_contribution": ["employer ssf contribution", "employer ssf contribution (20%)", "ssf (employer)", "ssf (co 20%)"],
+    "tds_deducted": ["tds", "tds deducted this month"],
+    "net_pay": ["net pay", "net salary", "take home"],
 }
 ALLOWANCE = r"(?i)\A\s*(.*allowance|.*bonus)\s*\z"
 DEDUCTION = r"(?i)\A\s*(.*(loan|advance|insurance|premium|recovery|repayment).*)\s*\z"
@@ -33,14 +33,18 @@ def parse_slips(slips: DataFrame) -> DataFrame:
     """
     lines = F.filter(F.split("slip_text", r"\n|,\s*(?=[A-Za-z])"), lambda s: s.rlike(r":[^:\d]*-?\d"))
     pairs = F.transform(lines, lambda s: F.struct(strip(F.regexp_extract(s, r"\A(.*):[^:]*\z", 1)).alias("label"), amount(s).alias("value")))
-    read = slips.withColumn("_pairs", F.filter(pairs, lambda p: p.value.isNotNull()))
+    known = F.create_map(*[F.lit(x) for field, labels in LABELS.items() for label in labels for x in (label, field)])
+    # a label is looked up once, whatever it is then asked for
+    plain = lambda label: F.regexp_replace(F.regexp_replace(F.lower(label), r"\s*\(", " ("), r"\s+", " ")
+    told = F.transform(F.filter(pairs, lambda p: p.value.isNotNull()), lambda p: F.struct(F.try_element_at(known, plain(p.label)).alias("kind"), p.label.alias("label"), p.value.alias("value")))
+    read = slips.withColumn("_pairs", told)
 
     def field(name: str) -> Column:
-        own = F.filter("_pairs", lambda p: p.label.rlike(LABELS[name]))
+        own = F.filter("_pairs", lambda p: p.kind == name)
         return F.when(F.size(own) > 0, F.element_at(own, 1).value)
 
     def amounts(pattern: str) -> Column:
-        own = F.filter("_pairs", lambda p: p.label.rlike(pattern))
+        own = F.filter("_pairs", lambda p: p.kind.isNull() & p.label.rlike(pattern))
         labels = F.array_distinct(F.transform(own, lambda p: p.label))
         total = lambda label: F.aggregate(F.filter(own, lambda p: p.label == label), F.lit(0.0), lambda t, p: t + p.value)
         return F.map_from_arrays(labels, F.transform(labels, total))
@@ -63,6 +67,9 @@ def violations(required: list[str] = ["basic_salary", "gross_salary", "net_pay"]
     return F.array_compact(F.array(*[F.when(F.coalesce(bad(c), F.lit(False)), c) for c in LABELS]))
 
 
+# The texts of both warnings.
+
+
 def gross_warning() -> Column:
     expected = F.col("basic_salary") + map_sum("allowances")
     text = F.concat(F.lit("gross_salary ("), _plain("gross_salary"), F.lit(") does not match basic_salary + allowances ("), _plain(expected), F.lit(")"))

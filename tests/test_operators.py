@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import answering, chunks, evaluate, golden, models, retrieval, safety, sections, slips
+from quarry.operators import answering, chunks, evaluate, golden, index, models, retrieval, safety, sections, slips
 from quarry.plans import answer as plans
 from quarry.sources import jsonl, pages
 from quarry.streaming import rows as streams
@@ -82,7 +82,7 @@ def corpus(spark):
 
 def test_bm25_pads_and_breaks_ties(spark):
     asked = spark.createDataFrame([(1, "dividend tax"), (2, "unknown")], "qid long, question string")
-    got = retrieval.bm25_topk(asked, corpus(spark), 4).orderBy("qid", "rank").collect()
+    got = retrieval.bm25_topk(asked, index.lexical_index(corpus(spark)), 4).orderBy("qid", "rank").collect()
     assert [r.chunk_id for r in got if r.qid == 2] == ["c0", "c1", "c2", "c3"]
     assert {r.chunk_id for r in got if r.qid == 1} == {"c0", "c1", "c3", "c2"} and got[3].chunk_id == "c2"
     assert [r["rank"] for r in got] == [1, 2, 3, 4] * 2
@@ -97,6 +97,12 @@ def test_rrf(spark):
         retrieval.rrf_topk(retrieval.rrf_fuse(a, b), 0)
 
 
+def test_reasons_print_as_python_does(spark):
+    values = [0.125, -8.125, 2.675, 1234567.895, -0.001, 7.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(answering.low_confidence_reason(T.F.col("v"))).collect()]
+    assert got == [f"low_confidence_retrieval (top rerank_score={v:.2f})" for v in values]
+
+
 def test_gate_and_answer(spark):
     asked = spark.createDataFrame([(1, "dividend tax rate"), (2, "zebra"), (3, "  ")], "qid long, question string")
     dense = spark.createDataFrame([(1, "c0", 1), (2, "c2", 1)], "qid long, chunk_id string, rank int")
@@ -191,6 +197,56 @@ def test_jsonl(spark, tmp_path):
     assert {"a": 2, "b": None} in lines
 
 
+def test_jsonl_blank_lines_and_line_numbers(spark, tmp_path):
+    (tmp_path / "blank.jsonl").write_text('{"a": 1}\n \n{"a": 2}\n')
+    with pytest.raises(Exception, match="blank line"):
+        jsonl.read_strict(spark, str(tmp_path / "blank.jsonl"), "a int").collect()
+    (tmp_path / "ok.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    assert sorted(r.a for r in jsonl.read_strict(spark, str(tmp_path / "ok.jsonl"), "a int").collect()) == [1, 2]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name in "xy":
+        rows = ['{"a": %d}' % k for k in range(50_000)]
+        rows[100], rows[40_000] = "", "{oops " + name
+        (folder / f"{name}.jsonl").write_text("\n".join(rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")  # files in several blocks
+    try:
+        with pytest.raises(ValueError, match=r"x\.jsonl, line 40001: \{oops x; .*y\.jsonl, line 40001: \{oops y"):
+            jsonl.read_lenient(spark, str(folder), "a int")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_indexes_are_dropped_recreated_and_reopened(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        index.open_lexical_index(spark, folder)
+    with pytest.raises(FileNotFoundError):
+        index.open_vector_index(spark, folder)
+    rows = corpus(spark)
+    for part in (rows.limit(1), rows):
+        index.build_lexical_index(part, folder)
+        index.build_vector_index(part, models.hashed_embedding, folder)
+    asked = spark.createDataFrame([(1, "dividend tax"), (2, "unknown")], "qid long, question string")
+    one, other = (sorted(map(tuple, retrieval.bm25_topk(asked, own, 4).collect())) for own in (index.open_lexical_index(spark, folder), index.lexical_index(rows)))
+    assert one == other
+    assert index.open_vector_index(spark, folder).count() == rows.count()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    chunk = {"chunk_id": "c", "text": "dividend tax", "source_file": "f.pdf", "section": "Section 1", "start_page": 1, "end_page": 1, "token_count": 2}
+    (tmp_path / "chunks.jsonl").write_text(json.dumps(chunk) + "\n")
+    asked = {"id": "1", "question": "q", "expected_answer": "a", "source_file": "f.pdf", "source_clause": "Section 1", "category": "c", "difficulty": "easy"}
+    (tmp_path / "golden.jsonl").write_text(json.dumps(asked) + "\n\n" + json.dumps(asked | {"id": "2", "difficulty": "odd"}) + "\n")
+    assert main(["browse", str(tmp_path / "chunks.jsonl"), "--keyword", "TAX"]) == 0
+    assert main(["check", str(tmp_path / "golden.jsonl"), str(tmp_path / "chunks.jsonl")]) == 1
+    assert main(["health"]) == 0
+    said = capsys.readouterr().out
+    assert "[c] ...dividend tax..." in said and "line 3: check 4: odd" in said and "'status': 'ok'" in said
+
+
 def test_pdf_scan(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"one\f\ftwo")
     decode = lambda raw: raw.decode().split("\f")
