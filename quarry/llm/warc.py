@@ -15,11 +15,11 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, table
+from .common import bounded_batches, new_path, stored, table
+from .sketch import key_filter, rows_in
 
 #: Payloads from this size on are stored once; copies become revisit records.
 REVISIT_BYTES = 1000
@@ -30,6 +30,8 @@ DATE = "1970-01-01T00:00:00Z"
 #: Bytes that one look for candidates spans.
 CHUNK = 1 << 20
 
+#: What ends a record.
+_END = b"\r\n\r\n"
 _URN = "<urn:page:%s>"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,39 +54,63 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archive ``pages`` (page_id, url, html): a table (archive_no, archive) in the shared folder.
-
-    Null html is an empty payload, a null url leaves its header out, other columns
-    are ignored.  Of equal payloads of at least ``revisit_bytes`` that with the
-    largest page_id is a response and the others are revisits; rows that share this
-    largest page_id, and all rows if every page_id is null, are responses.
-    """
-    bounded_batches(pages.sparkSession)
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    told = pages.select("page_id", "url", html.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    keys = told.filter(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    placed = told.join(keys.filter("n > 1").drop("n"), ["digest", "size"], "left")
-    rows = placed.select("page_id", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+def _archives(rows: DataFrame, archive_bytes: int, marks=None) -> DataFrame:
+    """Archives (value) of ``rows``: page_id, url, payload, digest, first and _key, without those whose _key is not 0 and in ``marks``."""
 
     def run(batches):
-        part, number, buffer, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def archive():
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([b"".join(buffer)], pa.binary())], ["archive_no", "archive"])
-
+        buffer, size = [], 0
+        archive = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(buffer).removesuffix(_END)], pa.binary())], ["value"])
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                page_id, url, payload, digest, first, revisit = row
-                buffer.append(_record(page_id, url, payload, digest, first, revisit))
+            if marks:
+                key = batch.column(5).to_numpy()
+                batch = batch.filter(pa.array((key == 0) | ~marks.value.may_hold(key.view(np.uint64))))
+            for page_id, url, payload, digest, first, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                buffer.append(_record(page_id, url, payload, digest, first, first is not None and page_id != first))
                 size += len(buffer[-1])
                 if size >= archive_bytes:
                     yield archive()
-                    number, buffer, size = number + 1, [], 0
+                    buffer, size = [], 0
         if buffer:
             yield archive()
 
-    return stored(rows.mapInArrow(run, "archive_no long, archive binary"), "warc")
+    return rows.mapInArrow(run, "value binary")
+
+
+def write_warc(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, folder: str | None = None) -> str:
+    """Write ``pages`` (page_id, url, html) as WARC files, one archive a file, in ``folder``, a new one in the shared folder if not given; returns it.
+
+    Null html is an empty payload, a null url leaves its header out, other columns
+    are ignored.  Of equal payloads of at least ``revisit_bytes`` that with the
+    largest page_id is a response and the others are revisits; rows that share this
+    largest page_id, and all rows if every page_id is null, are responses.  A task holds an
+    archive and the payload that ends it, however long.
+
+    Only payloads that may have a copy (a filter of their keys, at most 2 x 16 MB, is sent out)
+    move to learn of it; short ones and the others are written where they are read.
+    """
+    spark = pages.sparkSession
+    bounded_batches(spark)
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    told = pages.select("page_id", "url", html.alias("payload")).withColumn("digest", F.sha1("payload"))
+    told = told.withColumn("_key", F.when(F.octet_length("payload") >= revisit_bytes, F.xxhash64("digest", F.octet_length("payload")).bitwiseOR(F.lit(1))).otherwise(F.lit(0)))
+    long = told.filter(F.octet_length("payload") >= revisit_bytes)
+    copies = long.groupBy("digest", "_key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = stored(copies, "copies")
+    marks = spark.sparkContext.broadcast(key_filter(copies, "_key"))
+    alone = told.select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("first"), "_key")
+    # two plain exchanges, so that Spark splits the partition of a payload with many copies
+    met = rows_in(long, "_key", marks).join(copies, ["digest", "_key"], "left").select("page_id", "url", "payload", "digest", "first", "_key")
+    archives = _archives(alone, archive_bytes, marks).union(_archives(met, archive_bytes))
+    # a row a file; what Spark's writer of lines puts behind a row is the end of the archive's last record
+    folder = folder or new_path(spark, "warc")
+    archives.select(F.col("value").cast("string")).write.mode("overwrite").option("lineSep", _END.decode()).option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def open_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of ``folder``, also those of other writers: archive_no (the path) and archive."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(folder)
+    return files.select(F.col("path").alias("archive_no"), F.col("content").alias("archive"))
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.I)
@@ -137,9 +163,9 @@ def candidates(archives: DataFrame) -> DataFrame:
             for number, archive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = [c for at in range(0, max(len(archive), 1), CHUNK) for c in candidates_in(archive, at, min(at + CHUNK, len(archive)))]
                 cols = np.asarray(found, np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), number), pa.int64()), *(pa.array(cols[:, k], pa.int64()) for k in range(3))], ["archive_no", "offset", "body", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(cols), pa.string()), *(pa.array(cols[:, k], pa.int64()) for k in range(3))], ["archive_no", "offset", "body", "after"])
 
-    return archives.select("archive_no", "archive").mapInArrow(run, "archive_no long, offset long, body long, after long")
+    return archives.select("archive_no", "archive").mapInArrow(run, "archive_no string, offset long, body long, after long")
 
 
 def chain(found: DataFrame) -> DataFrame:
@@ -151,7 +177,7 @@ def chain(found: DataFrame) -> DataFrame:
         keep = keep[np.argsort(offset[keep])]
         return pa.table({"archive_no": group.column("archive_no").slice(0, 1), "offsets": pa.array([offset[keep]], pa.list_(pa.int64())), "bodies": pa.array([body[keep]], pa.list_(pa.int64()))})
 
-    return found.groupBy("archive_no").applyInArrow(run, "archive_no long, offsets array<long>, bodies array<long>")
+    return found.groupBy("archive_no").applyInArrow(run, "archive_no string, offsets array<long>, bodies array<long>")
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -168,7 +194,7 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of ``archives`` (archive_no, archive).
 
     page_id, url, payload_bytes, payload_digest (hex), record_type, refers_to, and
-    with ``payloads`` the payload (null for revisits).  A response whose payload
+    with ``payloads`` the payload (null for revisits).  A task holds an archive whole.  A response whose payload
     does not match its digest fails the task.  Bytes that the chain of records
     does not reach are no records, so an archive that begins with none has none.
     """
@@ -201,4 +227,4 @@ _TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int6
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages`` written as WARC files and read back: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
-    return read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
+    return read_warc(open_warc(spark, write_warc(table(spark, sf_dir, "pages"))), payloads=False)

@@ -65,6 +65,35 @@ def test_nearest_of_few(spark):
     assert forest.nearest(vectors(spark, []), vectors(spark, [])).count() == 0
 
 
+def test_nearest_of_many_and_large_leaves(spark, monkeypatch):
+    """Leaves cut in several shards, vectors of two lengths, an id forty times."""
+    monkeypatch.setattr(forest, "SHARD_ROWS", 16)
+    monkeypatch.setattr(forest, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(9)
+    rows = [(i, list(map(float, rng.normal(size=8).astype(np.float32)))) for i in range(200)]
+    wide = [(1000 + i, list(map(float, rng.normal(size=12).astype(np.float32)))) for i in range(30)]
+    df = vectors(spark, rows + wide + [rows[7]] * 40)
+    got = collections.defaultdict(list)
+    for r in forest.nearest(df, df.filter("vec_id % 20 = 0"), recall=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for part in (rows, wide):
+        x = {i: np.array(v) for i, v in part}
+        for q in [i for i in x if i % 20 == 0]:
+            best = [i for _, i in sorted((-float(x[q] @ v), i) for i, v in x.items() if i != q)[:20]]
+            assert len(set(best) & set(got[q])) >= 19 and len(set(got[q])) == len(got[q]) == 20 and set(got[q]) <= set(x)
+
+
+def test_shards():
+    first, parts = forest.shards(np.array([3, 4, 30, 2, 0, 9]), 10)
+    assert list(first) == [0, 0, 1, 4, 4, 5] and list(parts) == [1, 1, 3, 1, 1, 1]
+
+
+def test_near_vectors_of_two_lengths(spark):
+    rows = [(1, [1, 0]), (2, [1, 0]), (3, [1, 0, 0]), (4, [1, 0, 0, 0]), (5, [0.99, 0.01, 0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cross_polytope.near_vectors(vectors(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (1, 3)}
+
+
 @pytest.mark.parametrize("block", [128, 4])
 def test_near_vectors(spark, block, monkeypatch):
     monkeypatch.setattr(cross_polytope.linked_vectors, "__defaults__", (0.95, cross_polytope.TABLES, cross_polytope.PROBES, block))
@@ -175,7 +204,7 @@ def page_rows():
 def test_warc(spark, size):
     rows = page_rows()
     pages = spark.createDataFrame([(*r, "digest", 1) for r in rows], "page_id long, url string, html string, digest string, first int")
-    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(warc.write_warc(pages, archive_bytes=size)).collect()), key=repr)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(warc.open_warc(spark, warc.write_warc(pages, archive_bytes=size))).collect()), key=repr)
     largest = {}
     for i, _, html in rows:
         if i is not None:
@@ -190,13 +219,30 @@ def test_warc(spark, size):
 
 def test_warc_keeps_payloads_and_finds_damage(spark):
     pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
-    archives = warc.write_warc(pages)
+    archives = warc.open_warc(spark, warc.write_warc(pages))
     payloads = {r.page_id: bytes(r.payload) for r in warc.read_warc(archives).filter("record_type = 'response'").collect()}
     assert payloads[4] == page_rows()[3][2].encode()
     spoilt = archives.selectExpr("archive_no", "cast(replace(cast(archive as string), 'yyyyyyyy', 'yyyyqyyy') as binary) as archive")
     with pytest.raises(Exception, match="digest"):
         warc.read_warc(spoilt).collect()
-    assert warc.read_warc(warc.write_warc(pages.filter("false"))).count() == 0
+    assert warc.read_warc(warc.open_warc(spark, warc.write_warc(pages.filter("false")))).count() == 0
+
+
+def test_warc_of_long_payloads(spark):
+    """Payloads longer than an archive and than one look for candidates, with headers quoted at its edges; a copy of one."""
+    quoted = "WARC/1.1\r\nContent-Length: 9\r\n\r\n"
+    long = ("a" * ((1 << 20) - 20) + quoted) * 6
+    rows = [(1, "u", long), (2, "u", long), (3, "u", "b" * 2_500_000), (4, "u", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(warc.open_warc(spark, warc.write_warc(pages)), payloads=False).collect()}
+    assert got == {1: (len(long), "revisit", 2), 2: (len(long), "response", None), 3: (2_500_000, "response", None), 4: (1, "response", None)}
+
+
+def test_warc_files_are_plain(spark):
+    """What other readers open: each file begins with a record and ends with the end of one."""
+    folder = warc.write_warc(spark.createDataFrame(page_rows(), "page_id long, url string, html string"), archive_bytes=3000)
+    raw = [bytes(r.archive) for r in warc.open_warc(spark, folder).collect()]
+    assert len(raw) > 1 and all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in raw)
 
 
 def test_chain_rejects_what_it_does_not_reach():
