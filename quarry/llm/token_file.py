@@ -2,19 +2,20 @@
 
 Layout of a frame (all integers little-endian)::
 
-    magic "QTK1" | n_ids u32 | n_docs u32 | n_blocks u32 | crc32 of the index u32
-    index: per document id i64, has_id u8, length u32
+    magic "QTK2" | n_ids u32 | n_docs u32 | n_blocks u32 | n_different u32 | crc32 of the tables u32
+    tables: per document id i64, has_id u8, length u32
+            the different ids, u16 (u32 if n_ids > 65536), the most frequent first; their frequencies, u8 (8 log2, rounded)
     per block: n u32 | payload bytes u32 | crc32 of the ids u32 | crc32 of the payload u32 | payload
 
 Blocks hold ``BLOCK`` ids, the last of a frame may hold fewer, and each starts
-from the same fresh model, so any block can be decoded alone.
+from the frame's model, that of its tables, so any block can be decoded alone.
 
-Model.  The id ``x`` after ``a, b`` has three predictions: the id that last
-followed ``(a, b)`` in the block (order 2), the id that last followed ``b``
-(order 1), and adaptive id frequencies (order 0).  Two experts, one reading the
+Model.  Ids are coded by their rank among the frame's.  The rank ``x`` after ``a, b`` has three
+predictions: what last followed ``(a, b)`` in the block (order 2), what last followed ``b``
+(order 1), and adaptive frequencies that begin with the frame's (order 0).  Two experts, one reading the
 order-2 slot's confidence and one the order-1 slot's, each give a distribution
 over {order 2 is right, order 1 is right, neither}; a weight that follows the
-better expert mixes them.  After "neither" the id is coded as high part and low
+better expert mixes them.  After "neither" the rank is coded as high part and low
 byte, by counts that are re-read at doubling intervals.
 
 The coder is sequential within a block, so a numpy vector holds one lane for
@@ -29,15 +30,17 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"QTK1"
+MAGIC = b"QTK2"
 _ONE = 1 << 16
 _LEAST = 32
 _RATE = 5
 _SURE = 1 << 12  # weight of an expert that is always better
 _S1, _S2 = 10, 12  # log2 of the slots of order 1 and 2
-_LOW = 4  # id groups with low-byte counts of their own; the others share one
+_LOW = 4  # groups of 256 ranks with low-byte counts of their own; the others share one
+_GIVEN = 1 << 13  # what the frame's frequencies add up to in a block's counts, and what an id adds
+_ADDED = 16
 
-_HEAD = struct.Struct("<4sIIII")
+_HEAD = struct.Struct("<4sIIIII")
 _BLOCK_HEAD = struct.Struct("<IIII")
 _INDEX = np.dtype([("id", "<i8"), ("has", "u1"), ("n", "<u4")])
 
@@ -48,11 +51,27 @@ _M32 = np.uint64(0xFFFFFFFF)
 _32, _16 = np.uint64(32), np.uint64(16)
 
 
+def _groups(n_ids: int) -> int:
+    return (max(n_ids, 1) - 1 >> 8) + 1
+
+
+def given_counts(sizes: np.ndarray, n_ids: int) -> np.ndarray:
+    """The counts that a block begins with: of groups of ranks, then of low bytes in each; ``sizes``: 8 log2 of the frequencies by rank."""
+    groups = _groups(n_ids)
+    own = np.zeros((groups, 256))
+    own.ravel()[: len(sizes)] = 2.0 ** (sizes / 8)
+    low = np.vstack([own[:_LOW], np.zeros((max(0, _LOW - groups), 256)), own[_LOW:].sum(axis=0, keepdims=True)])
+    scaled = lambda w: 1 + np.floor(w / np.maximum(w.sum(axis=-1, keepdims=True), 1) * _GIVEN)
+    return np.concatenate([scaled(own.sum(axis=1)), scaled(low).ravel()]).astype(np.uint16)
+
+
 class _Model:
     """Adaptive state of some lanes; ``n`` of the functions is the number of lanes that still run."""
 
-    def __init__(self, lanes: int, n_ids: int):
-        self.lanes, self.high = lanes, (max(n_ids, 1) - 1 >> 8) + 1
+    def __init__(self, given: np.ndarray, n_ids: int):
+        """given: lanes x counts, from ``given_counts``."""
+        lanes = len(given)
+        self.lanes, self.high = lanes, _groups(n_ids)
         at = np.arange(lanes, dtype=np.int64)
         self.base1, self.base2 = at << _S1, at << _S2
         self.id1, self.id2 = np.zeros(lanes << _S1, np.int32), np.zeros(lanes << _S2, np.int32)
@@ -62,8 +81,7 @@ class _Model:
         self.a1, self.a2, self.b1, self.b2 = first, second, first.copy(), second.copy()
         self.weight = np.full(lanes, _SURE // 2, np.int32)
         self.lane4 = at << 2
-        self.width = self.high + (_LOW + 1) * 256
-        self.count = np.ones((lanes, self.width), np.uint16)
+        self.count = given
         self.next_reading = 16
         self._read_counts()
 
@@ -115,8 +133,8 @@ class _Model:
         self.id2[k2] = x
 
     def count_ids(self, lanes, high, low):
-        self.count[lanes, high] += 24
-        self.count[lanes, self.high + np.minimum(high, _LOW) * 256 + low] += 24
+        self.count[lanes, high] += _ADDED
+        self.count[lanes, self.high + np.minimum(high, _LOW) * 256 + low] += _ADDED
 
     def turn(self, step):
         if step + 1 == self.next_reading:
@@ -185,15 +203,15 @@ def _by_length(lengths):
     return order, lengths[order]
 
 
-def encode_blocks(ids: np.ndarray, cuts: np.ndarray, n_ids: int) -> list[bytes]:
-    """Payload of each block ids[cuts[i]:cuts[i + 1]]."""
+def encode_blocks(ids: np.ndarray, cuts: np.ndarray, given: np.ndarray, n_ids: int) -> list[bytes]:
+    """Payload of each block ids[cuts[i]:cuts[i + 1]] of ranks; ``given``: the counts that it begins with."""
     order, lengths = _by_length(np.diff(cuts))
     lanes, longest = len(order), int(lengths[0]) if len(order) else 0
     grid = np.zeros((lanes, longest), np.int32)
     for lane, (block, n) in enumerate(zip(order, lengths)):
         grid[lane, :n] = ids[cuts[block] : cuts[block] + n]
     grid = np.ascontiguousarray(grid.T)
-    model, coder = _Model(lanes, n_ids), _Encoder(lanes, 2 * longest + 4)
+    model, coder = _Model(given[order], n_ids), _Encoder(lanes, 2 * longest + 4)
     b = a = np.zeros(lanes, np.int64)
     for step in range(longest):
         n = int(np.searchsorted(-lengths, -step, "left"))
@@ -236,8 +254,8 @@ def _search(cuts, rows, v, width):
     return lo
 
 
-def decode_blocks(payloads: list[bytes], lengths: np.ndarray, n_ids: int) -> np.ndarray:
-    """All ids of the blocks, one block after the other."""
+def decode_blocks(payloads: list[bytes], lengths: np.ndarray, given: np.ndarray, n_ids: int) -> np.ndarray:
+    """All ranks of the blocks, one block after the other."""
     order, sizes = _by_length(np.asarray(lengths, np.int64))
     lanes, longest = len(order), int(sizes[0]) if len(order) else 0
     parts = [payloads[i] for i in order]
@@ -246,7 +264,7 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, n_ids: int) -> np.
     grid = np.zeros((longest, lanes), np.int32)
     if not lanes:
         return np.zeros(0, np.int64)
-    model, coder = _Model(lanes, n_ids), _Decoder(words, starts)
+    model, coder = _Model(given[order], n_ids), _Decoder(words, starts)
     b = a = np.zeros(lanes, np.int64)
     for step in range(longest):
         n = int(np.searchsorted(-sizes, -step, "left"))
@@ -280,9 +298,21 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, n_ids: int) -> np.
     return np.concatenate([grid[place[i], :n] for i, n in enumerate(lengths)])
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, most frequent first, 8 log2 of their frequencies, and the ranks of all ids."""
+    kinds, back, n = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(kinds), np.int64)
+    rank[order] = np.arange(len(kinds))
+    return kinds[order], np.minimum(np.rint(8 * np.log2(n[order])), 255).astype(np.uint8), rank[back]
+
+
 def write_frames(frames: list[tuple[list[int | None], list[np.ndarray]]], n_ids: int, block: int = BLOCK) -> list[bytes]:
     """Encode frames together, so that many blocks share the numpy calls."""
+    if _GIVEN + 512 + block * _ADDED > 0xFFFF:
+        raise ValueError("a block of so many ids would overflow its counts")
     streams = [np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64) for _, docs in frames]
+    told = [_ranked(s) for s in streams]
     cuts, at, spans = [0], 0, []
     for s in streams:
         edges = list(range(block, len(s), block)) + ([len(s)] if len(s) else [])
@@ -290,15 +320,16 @@ def write_frames(frames: list[tuple[list[int | None], list[np.ndarray]]], n_ids:
         cuts += [at + e for e in edges]
         at += len(s)
     ids, cuts = np.concatenate([np.zeros(0, np.int64), *streams]), np.asarray(cuts, np.int64)
-    payloads = encode_blocks(ids, cuts, n_ids)
+    given = np.repeat(np.array([given_counts(t[1], n_ids) for t in told]), [n for _, n in spans], axis=0) if frames else np.zeros((0, 0), np.uint16)
+    payloads = encode_blocks(np.concatenate([np.zeros(0, np.int64), *(t[2] for t in told)]), cuts, given, n_ids)
     out = []
-    for (doc_ids, docs), (first, n) in zip(frames, spans):
+    for (doc_ids, docs), (kinds, sizes, _), (first, n) in zip(frames, told, spans):
         index = np.zeros(len(docs), _INDEX)
         index["id"] = [0 if i is None else i for i in doc_ids]
         index["has"] = [i is not None for i in doc_ids]
         index["n"] = [len(d) for d in docs]
-        raw = index.tobytes()
-        parts = [_HEAD.pack(MAGIC, n_ids, len(docs), n, zlib.crc32(raw)), raw]
+        raw = index.tobytes() + kinds.astype(_kind(n_ids)).tobytes() + sizes.tobytes()
+        parts = [_HEAD.pack(MAGIC, n_ids, len(docs), n, len(kinds), zlib.crc32(raw)), raw]
         for k in range(first, first + n):
             own = ids[cuts[k] : cuts[k + 1]].astype("<u4").tobytes()
             parts += [_BLOCK_HEAD.pack(len(own) // 4, len(payloads[k]), zlib.crc32(own), zlib.crc32(payloads[k])), payloads[k]]
@@ -306,22 +337,43 @@ def write_frames(frames: list[tuple[list[int | None], list[np.ndarray]]], n_ids:
     return out
 
 
+def _kind(n_ids: int) -> np.dtype:
+    return np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
+
+
+def _tables(frame: bytes, at: int = 0) -> tuple[int, int, int, int, int]:
+    """n_ids, n_docs, n_blocks, n_different and the offset of the first block of the frame that begins at ``at``."""
+    magic, n_ids, n_docs, n_blocks, n_kinds, _ = _HEAD.unpack_from(frame, at)
+    if magic != MAGIC:
+        raise ValueError("not a token frame")
+    return n_ids, n_docs, n_blocks, n_kinds, at + _HEAD.size + n_docs * _INDEX.itemsize + n_kinds * (_kind(n_ids).itemsize + 1)
+
+
 def frame_index(frame: bytes) -> np.ndarray:
     """The document index of a frame, checked."""
-    magic, _, n_docs, _, crc = _HEAD.unpack_from(frame)
-    raw = frame[_HEAD.size : _HEAD.size + n_docs * _INDEX.itemsize]
-    if magic != MAGIC or zlib.crc32(raw) != crc:
-        raise ValueError("not a token frame, or its index is damaged")
-    return np.frombuffer(raw, _INDEX)
+    _, n_docs, _, _, end = _tables(frame)
+    raw = frame[_HEAD.size : end]
+    if zlib.crc32(raw) != _HEAD.unpack_from(frame)[5]:
+        raise ValueError("a frame's tables are damaged")
+    return np.frombuffer(raw, _INDEX, n_docs)
+
+
+def frame_size(data: bytes, at: int = 0) -> int:
+    """Bytes of the frame that begins at ``at``."""
+    _, _, n_blocks, _, end = _tables(data, at)
+    for _ in range(n_blocks):
+        end += _BLOCK_HEAD.size + _BLOCK_HEAD.unpack_from(data, end)[1]
+    return end - at
 
 
 def read_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(index, ids) of each frame; raises ValueError on a damaged block."""
-    payloads, lengths, crcs, spans, n_ids = [], [], [], [], 1
+    payloads, lengths, crcs, spans, given, n_ids = [], [], [], [], [], 1
     for f in frames:
         index = frame_index(f)
-        _, n_ids, n_docs, n_blocks, _ = _HEAD.unpack_from(f)
-        at = _HEAD.size + n_docs * _INDEX.itemsize
+        n_ids, n_docs, n_blocks, n_kinds, at = _tables(f)
+        kinds = np.frombuffer(f, _kind(n_ids), n_kinds, _HEAD.size + n_docs * _INDEX.itemsize).astype(np.int64)
+        given += [given_counts(np.frombuffer(f, np.uint8, n_kinds, at - n_kinds), n_ids)] * n_blocks
         for _ in range(n_blocks):
             n, size, crc_ids, crc_payload = _BLOCK_HEAD.unpack_from(f, at)
             payload = f[at + _BLOCK_HEAD.size : at + _BLOCK_HEAD.size + size]
@@ -331,14 +383,16 @@ def read_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             lengths.append(n)
             crcs.append(crc_ids)
             at += _BLOCK_HEAD.size + size
-        spans.append((index, n_blocks))
-    ids, out, block, at = decode_blocks(payloads, np.asarray(lengths, np.int64), n_ids), [], 0, 0
-    for index, n_blocks in spans:
-        first = at
+        spans.append((index, n_blocks, kinds))
+    ranks, out, block, at = decode_blocks(payloads, np.asarray(lengths, np.int64), np.array(given or [[]], np.uint16), n_ids), [], 0, 0
+    for index, n_blocks, kinds in spans:
+        n = sum(lengths[block : block + n_blocks])
+        ids = kinds[ranks[at : at + n]]
+        first = 0
         for k in range(block, block + n_blocks):
-            if zlib.crc32(ids[at : at + lengths[k]].astype("<u4").tobytes()) != crcs[k]:
+            if zlib.crc32(ids[first : first + lengths[k]].astype("<u4").tobytes()) != crcs[k]:
                 raise ValueError("a block's ids are damaged")
-            at += lengths[k]
-        block += n_blocks
-        out.append((index, ids[first:at]))
+            first += lengths[k]
+        block, at = block + n_blocks, at + n
+        out.append((index, ids))
     return out

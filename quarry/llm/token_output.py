@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, return_memory, stored, table
-from .token_file import frame_index, read_frames, write_frames
+from .common import bounded_batches, new_path, return_memory, stored, table
+from .token_file import frame_index, frame_size, read_frames, write_frames
 
-#: Characters of text that one file is meant to hold.
-FILE_CHARS = 32 << 20
+#: Characters of text that one file is meant to hold; of small inputs as many files as there are shuffle partitions hold this least at least.
+FILE_CHARS, LEAST_CHARS = 32 << 20, 1 << 20
 #: Ids of a frame (a frame ends with the document that reaches it) and of the frames coded together.
 FRAME_IDS = 1 << 19
 TOGETHER_IDS = 6 << 20
@@ -102,122 +102,128 @@ class WordEncoder:
         return self.ids[take], ends[rows]
 
 
-def _kind(n_ids: int) -> np.dtype:
-    """How ids travel through the shuffle."""
-    return np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
+def _write(path: str, end_id: int, n_ids: int):
+    """Frames (value) of a partition's texts, in their order."""
 
-
-def _encode(path: str, end_id: int, kind: np.dtype):
     def run(batches):
-        encoder = WordEncoder(path)
-        for batch in batches:
-            ids, off = encoder.encode(batch.column(1))
-            # one more id at the end of each text
-            out = np.full(len(ids) + batch.num_rows, end_id, kind)
-            rows = np.arange(batch.num_rows)
-            out[np.arange(len(ids)) + np.repeat(rows, np.diff(off))] = ids
-            ends = (off + np.arange(len(off))) * kind.itemsize
-            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed.cast(pa.binary())], ["doc_id", "file_no", "ids"])
-
-    return run
-
-
-def _write(n_ids: int):
-    kind = _kind(n_ids)
-
-    def run(batches):
-        frames, docs, names, size, pending, number, start = [], [], [], 0, 0, 0, 0
+        encoder, frames, docs, names, size, pending = WordEncoder(path), [], [], [], 0, 0
 
         def coded():
-            nonlocal number, start, frames
-            for (own, parts), frame in zip(frames, write_frames(frames, n_ids)):
-                n = sum(map(len, parts))
-                yield file_no, number, start, n, frame
-                number, start = number + 1, start + n
-            frames = []
-
-        def table_of(rows):
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], ["file_no", "frame_no", "file_start", "n_ids", "frame"])
-
-        file_no = None
+            return pa.RecordBatch.from_arrays([pa.array(write_frames(frames, n_ids), pa.binary())], ["value"])
+
         for batch in batches:
-            for doc_id, part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                file_no = part
+            ids, off = encoder.encode(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist()):
                 names.append(doc_id)
-                docs.append(np.frombuffer(raw.as_buffer(), kind))
-                size += len(docs[-1])
+                docs.append(np.append(ids[a:b], np.int32(end_id)))
+                size += b - a + 1
                 if size >= FRAME_IDS:
                     frames.append((names, docs))
                     pending, names, docs, size = pending + size, [], [], 0
                     if pending >= TOGETHER_IDS:
-                        yield table_of(list(coded()))
-                        pending = 0
+                        yield coded()
+                        pending, frames = 0, []
         if names:
             frames.append((names, docs))
         if frames:
-            yield table_of(list(coded()))
+            yield coded()
 
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, n_ids: int) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as token files; returns the table of frames.
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, n_ids: int, folder: str | None = None) -> str:
+    """Write ``docs`` (doc_id, text) as token files in ``folder``, a new one in the shared folder if not given; returns it.
 
-    A file is a run of frames (``token_file`` has their layout); files and the
-    frames in them follow ascending ``doc_id``, null first.  Null text counts
-    as empty, so a document has its end id at least; other columns are ignored;
-    rows that repeat a ``doc_id`` are each kept.  The table (file_no, frame_no,
-    file_start, n_ids, frame) lies in the shared folder, as Spark has no writer of
-    plain binary files; each frame is self-contained and checksummed.
+    A file is a run of frames (``token_file`` has their layout), each followed by a line feed; files, by
+    the number in their names, and the frames in them follow ascending ``doc_id``, null first.
+    Null text counts as empty, so a document has its end id at least; other columns are ignored;
+    rows that repeat a ``doc_id`` are each kept, in an order that depends on their texts only.  Frames are
+    self-contained and checksummed.  A task holds ``TOGETHER_IDS`` ids and the text
+    at hand, however long.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select("doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(chars // FILE_CHARS) + 1
-    edges = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    edges = sorted(set(edges)) if n > 1 else []
-    # the file of a document: how many edges lie below it
-    at = sum((F.coalesce((F.col("doc_id") > F.lit(e)).cast("int"), F.lit(0)) for e in edges), F.lit(0))
-    ids = docs.select("doc_id", "text", at.cast("int").alias("file_no")).mapInArrow(_encode(tokenizer_path, end_id, _kind(n_ids)), "doc_id long, file_no int, ids binary")
-    ids = ids.repartitionById(len(edges) + 1, "file_no").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    return stored(ids.mapInArrow(_write(n_ids), "file_no int, frame_no long, file_start long, n_ids long, frame binary"), "tokens")
+    files = max(chars // FILE_CHARS, min(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // LEAST_CHARS)) + 1
+    # ids may be few or repeat; with the text's hash behind them files stay of a size
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
+    dealt = docs.select("doc_id", "text").repartitionByRange(int(files), *order).sortWithinPartitions(*order, "text")
+    folder = folder or new_path(spark, "tokens")
+    frames = dealt.mapInArrow(_write(tokenizer_path, end_id, n_ids), "value binary")
+    # Spark's writer of lines writes the bytes as they are, and a line feed behind each row
+    frames.select(F.col("value").cast("string")).write.mode("overwrite").option("lineSep", "\n").text(folder)
+    return folder
 
 
-def read_token_files(frames: DataFrame) -> DataFrame:
-    """Decode frames: doc_id, start, n_tokens, ids_crc32 and ids (little-endian u32) per document.
+def open_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of ``folder``: file_no and content."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    return files.select(F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("long").alias("file_no"), "content")
 
-    ``start`` counts the ids of all documents before.  A damaged frame fails the task.
+
+def _frames_of(content: bytes):
+    """The frames of a file."""
+    at = 0
+    while at < len(content):
+        end = at + frame_size(content, at)
+        yield content[at:end]
+        at = end + 1
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Decode the files of ``folder``: doc_id, start, n_tokens, ids_crc32 and ids (little-endian u32) per document.
+
+    ``start`` counts the ids of all documents before.  A damaged frame fails the task.  A task holds a file.
     """
-    bounded_batches(frames.sparkSession)
-    files = frames.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
+    bounded_batches(spark)
+    files = open_token_files(spark, folder)
+
+    def count(batches):
+        for batch in batches:
+            n = [sum(int(frame_index(f)["n"].sum()) for f in _frames_of(raw)) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["file_no", "n"])
+
+    sizes = stored(files.mapInArrow(count, "file_no long, n long"), "sizes")  # a row a file
     order = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file_no", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    placed = frames.join(files, "file_no").select((F.col("before") + F.col("file_start")).alias("start"), "frame")
+    starts = stored(sizes.select("file_no", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")), "starts")
+    placed = files.join(starts, "file_no").select("before", "content")
 
     def run(batches):
         for batch in batches:
-            starts, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, (index, ids) in zip(starts, read_frames(raw)):
-                off = np.concatenate([[0], np.cumsum(index["n"], dtype=np.int64)])
-                data = ids.astype("<u4").tobytes()
-                parts = [data[4 * i : 4 * j] for i, j in zip(off[:-1], off[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(index["id"], pa.int64(), mask=index["has"] == 0),
-                        pa.array(start + off[:-1], pa.int64()),
-                        pa.array(np.diff(off), pa.int64()),
-                        pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                        pa.array(parts, pa.binary()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+            for start, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for frames in _together(raw):
+                    for index, ids in read_frames(frames):
+                        off = np.concatenate([[0], np.cumsum(index["n"], dtype=np.int64)])
+                        data = ids.astype("<u4").tobytes()
+                        parts = [data[4 * i : 4 * j] for i, j in zip(off[:-1], off[1:])]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(index["id"], pa.int64(), mask=index["has"] == 0),
+                                pa.array(start + off[:-1], pa.int64()),
+                                pa.array(np.diff(off), pa.int64()),
+                                pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+                                pa.array(parts, pa.binary()),
+                            ],
+                            ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                        )
+                        start += int(off[-1])
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def _together(content: bytes):
+    """Frames of a file, as many at a time as are decoded in one go."""
+    frames, size = [], 0
+    for f in _frames_of(content):
+        frames.append(f)
+        size += int(frame_index(f)["n"].sum())
+        if size >= TOGETHER_IDS:
+            yield frames
+            frames, size = [], 0
+    if frames:
+        yield frames
+
+
 def index_of(frame: bytes) -> list[tuple[int | None, int]]:
     """(doc_id, length) of each document of a frame, without decoding its blocks."""
     return [(int(r["id"]) if r["has"] else None, int(r["n"])) for r in frame_index(frame)]
@@ -227,5 +233,5 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` written as token files (null text: end id only) and read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
-    frames = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, n_ids=49408)
-    return read_token_files(frames).drop("ids")
+    folder = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, n_ids=49408)
+    return read_token_files(spark, folder).drop("ids")

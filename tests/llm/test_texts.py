@@ -242,20 +242,37 @@ def test_repeated_ids_take_little_room():
     assert len(frame) < len(ids) * 0.6
 
 
+def test_ids_of_text_take_less_room_than_a_general_compressor_needs():
+    """Against zstd over the plain 16-bit ids of all texts at once, and in blocks as independent as ours."""
+    import pyarrow.parquet as pq
+    import zstandard
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet").sort_by("doc_id")
+    encoder = token_output.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, _ = encoder.encode(table.column("text").combine_chunks())
+    own = sum(map(len, token_file.write_frames([([1], [part]) for part in np.array_split(ids, 2)], 49408)))
+    plain, press = ids.astype("<u2").tobytes(), zstandard.ZstdCompressor(level=3)
+    assert own < 0.95 * len(press.compress(plain))
+    step = 2 * token_file.BLOCK
+    assert own < 0.8 * sum(len(press.compress(plain[at : at + step])) for at in range(0, len(plain), step))
+    with pytest.raises(ValueError):
+        token_file.write_frames([([1], [ids[:5]])], 49408, block=1 << 20)
+
+
 def test_token_output(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = rows_of()
-    frames = token_output.write_token_files(texts(rows), path, 2, 49408)
-    got = token_output.read_token_files(frames).collect()
+    folder = token_output.write_token_files(texts(rows), path, 2, 49408)
+    got = token_output.read_token_files(spark, folder).collect()
     tok = Tokenizer.from_file(path)
     want = [[*tok.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in rows]
     values = [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
-    assert as_lists(token_output.read_token_files(frames), "n_tokens", "ids_crc32") == wanted(rows, values)
+    assert as_lists(token_output.read_token_files(spark, folder), "n_tokens", "ids_crc32") == wanted(rows, values)
     got.sort(key=lambda r: r.start)
     assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
     ids = [r.doc_id for r in got]
     assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
-    assert token_output.read_token_files(token_output.write_token_files(texts([]), path, 2, 49408)).count() == 0
+    assert token_output.read_token_files(spark, token_output.write_token_files(texts([]), path, 2, 49408)).count() == 0
 
 
 # 6 --------------------------------------------------------------------------------------------------
@@ -279,16 +296,57 @@ def repeats_removed(rows, width):
 
 @pytest.mark.parametrize("most", [512, 2])
 def test_suffix_dedup(spark, texts, most, monkeypatch):
-    rows = [r for r in rows_of() if r[0] != 12]
-    if most == 2:  # a small window and collections that are dealt anew
+    rows = rows_of()
+    if most == 2:  # a small window and collections that are dealt anew; a letter 70,000 times would be dealt anew too often for a test
+        rows = [r for r in rows if r[0] != 12]
         width, symbol = 40, 5
         monkeypatch.setattr(suffix_dedup, "LEVELS", (7, 2, 1))
     else:
-        width, symbol = 400, 25
+        width, symbol = 400, 50
     got = as_lists(suffix_dedup.drop_repeats(texts(rows), width, symbol, most), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == wanted(rows, repeats_removed(rows, width))
 
 
+def test_suffix_dedup_of_very_long_texts(spark, texts):
+    """Two texts of 3.5 MB, searched in pieces, that share a passage over the pieces' edges; a copy of it in a short one."""
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    a, b = (rng.choice(letters, 3_500_000).tobytes().decode() for _ in range(2))
+    shared = rng.choice(letters, 5000).tobytes().decode()
+    cut = (1 << 20) - 2000
+    a, b = a[:cut] + shared + a[cut:], b[:777] + shared + b[777:]
+    rows = [(1, a, "en", "s", 0), (2, b, "en", "s", 0), (3, "x" + shared[1000:2000] + "y", "en", "s", 0), (4, "short", "en", "s", 0)]
+    got = as_lists(suffix_dedup.drop_repeats(texts(rows), rest=False), "n_bytes", "n_removed", "n_spans")
+    assert got == {1: [(len(a), 5000, 1)], 2: [(len(b), 5000, 1)], 3: [(1002, 1000, 1)], 4: [(5, 0, 0)]}
+
+
+def test_suffix_dedup_by_words(spark, texts):
+    """Runs of fewer words than asked for stay, those of as many go."""
+    rng = np.random.default_rng(5)
+    short, long = prose(rng, 45), prose(rng, 55)
+    rows = [(k, prose(rng, 30) + " " + passage + " " + prose(rng, 30), "en", "s", 0) for k, passage in enumerate([short, short, long, long])]
+    out = {r.doc_id: r.rest for r in suffix_dedup.drop_repeats(texts(rows), 100, 50, as_text=True, least_words=50).collect()}
+    assert out[0] == rows[0][1] and out[1] == rows[1][1]
+    assert long[10:-10] not in out[2] + out[3] and len(out[2].split()) in (60, 61)
+
+
+@pytest.mark.parametrize("on_disk", [True, False])
+def test_repeated_windows_in_one_transform(on_disk):
+    """Strings of one kind, multiplicities, and repeats within a string are all told by the transform."""
+    rng = np.random.default_rng(6)
+    make = lambda n: rng.integers(0, 256, n).astype(np.uint8).tobytes()
+    once, often, inner, tail = make(60), make(50), make(44), make(30)
+    parts = [once, often, inner + inner, tail + once[:45]]
+    windows, n = np.array([len(p) - 39 for p in parts]), np.array([1, 3, 1, 1])
+    seen = collections.Counter()
+    for p, times, w in zip(parts, n, windows):
+        for i in range(w):
+            seen[p[i : i + 40]] += times
+    want = {(k, i) for k, p in enumerate(parts) for i in range(windows[k]) if seen[p[i : i + 40]] > 1}
+    k, a, b = suffix_dedup.repeated_windows(parts, windows, n, 40, 5, on_disk)
+    assert {(x, i) for x, y, z in zip(k.tolist(), a.tolist(), b.tolist()) for i in range(y, z)} == want
+
+
 def test_suffix_dedup_without_rows(spark, texts):
     assert suffix_dedup.drop_repeats(texts([])).count() == 0
 
