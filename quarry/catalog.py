@@ -976,7 +976,7 @@ _FOUND = ", ".join(
 
 @_query("detect_pii", f"WITH {_CONTACTS}, {_FOUND} SELECT * FROM t4")
 def _(spark, d):
-    return _contacts(spark, d).select("doc_id", F.explode(safety.entities("text")).alias("e")).select("doc_id", "e.*")
+    return _contacts(spark, d).filter(safety.may_hold_pii("text")).select("doc_id", F.explode(safety.entities("text")).alias("e")).select("doc_id", "e.*")
 
 
 @_query(
