@@ -58,11 +58,13 @@ def mix_sources(docs: DataFrame, cycle: int = 3, cap: int = 3, seed: int = 42, t
     ``targets`` (source, source_size, target) replaces the computed ones.
     """
     key = ["_null", "_source", "size", "_block"]
+    # rows without doc_id go to blocks in front of all others, by what else they hold
+    nowhere = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 20)) - (1 << 62)
     keyed = docs.withColumns(
         {
             "_null": F.col("source").isNull(),
             "_source": F.coalesce("source", F.lit("")),
-            "_block": F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-(1 << 62))),
+            "_block": F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), nowhere),
         }
     )
     counts = keyed.groupBy(*key).agg(F.count("*").alias("n"))
@@ -94,5 +96,5 @@ def emit_copies(mixed: DataFrame) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``mix_sources`` over all ``documents``: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
-    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
