@@ -164,7 +164,7 @@ def _packed(docs: DataFrame, blocks: int) -> DataFrame:
                 out.append(press.compress(sink.getvalue()))
             yield pa.RecordBatch.from_arrays([pa.array(block[order][edges[:-1]], pa.int32()), pa.array(out, pa.binary())], ["block", "rows"])
 
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     return dealt.mapInArrow(pack, "block int, rows binary")
 
 
