@@ -9,6 +9,8 @@ hold a whole source.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +61,8 @@ def mix_sources(docs: DataFrame, cycle: int = 3, cap: int = 3, seed: int = 42, t
     """
     key = ["_null", "_source", "size", "_block"]
     # rows without doc_id go to blocks in front of all others, by what else they hold
-    nowhere = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 20)) - (1 << 62)
+    told = [f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    nowhere = F.pmod(F.xxhash64(*told), F.lit(1 << 20)) - (1 << 62)
     keyed = docs.withColumns(
         {
             "_null": F.col("source").isNull(),
