@@ -250,7 +250,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     least = F.when(enough, F.col("threshold")).otherwise(F.greatest("threshold", overall))
     # a row a language; where the text says nothing of how many there are, Spark would deal rows by lang
     n_langs = (by_lang := stored(by_lang, "thresholds")).count()
-    judged = told.join(F.broadcast(by_lang) if n_langs <= MOST_LANGS else by_lang, "lang", "left").withColumn("threshold", least * F.exp(F.lit(slack) / F.col("n_bytes")))
+    judged = told.join(F.broadcast(by_lang) if n_langs <= MOST_LANGS else by_lang, "lang", "left").withColumn("threshold", least * F.exp(F.lit(slack) / F.greatest("n_bytes", F.lit(1))))
     fine = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select("doc_id", "lang", "perplexity", "threshold", fine.alias("kept"), *carry)
 

@@ -327,7 +327,7 @@ def test_suffix_dedup_by_words(spark, texts):
     rows = [(k, prose(rng, 30) + " " + passage + " " + prose(rng, 30), "en", "s", 0) for k, passage in enumerate([short, short, long, long])]
     out = {r.doc_id: r.rest for r in suffix_dedup.drop_repeats(texts(rows), 100, 50, as_text=True, least_words=50).collect()}
     assert out[0] == rows[0][1] and out[1] == rows[1][1]
-    assert long[10:-10] not in out[2] + out[3] and len(out[2].split()) in (60, 61)
+    assert long[10:-10] not in out[2] + out[3] and 57 <= len(out[2].split()) <= 62
 
 
 @pytest.mark.parametrize("on_disk", [True, False])
