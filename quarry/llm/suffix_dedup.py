@@ -29,7 +29,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -42,11 +42,12 @@ from .substring import _sliding_least
 WINDOW = 400
 SYMBOL = 50
 #: Strings that a collection may have.
-GROUP_MOST = 256
+GROUP_MOST = 2048
 #: Distances that share a part when a collection is dealt anew, level by level; at 1 the part is the window.
 LEVELS = (51, 13, 4, 1)
-#: Bytes of collections that are built in one go.
+#: Bytes of collections that are built in one go, and of parts that are handed on at a time.
 TOGETHER = 1 << 17
+HANDED_ON = 4 << 20
 _BASE = 0x9E3779B97F4A7C55
 _PLACE = np.uint64(0xFFFFFFFF)
 
@@ -158,8 +159,9 @@ def _deal_anew(strings: DataFrame, width: int, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             g, c, n, windows, anchor = (batch.column(k).to_numpy() for k in range(5))
-            out = []
-            for k, raw in enumerate(batch.column(5).to_pylist()):
+            out, size = [], 0
+            for k, raw in enumerate(batch.column(5)):
+                raw = raw.as_py()
                 data = np.frombuffer(raw, np.uint8)
                 runs, far = _Runs(data), int(anchor[k])
                 # window i lies anchor - i before its anchor
@@ -173,9 +175,16 @@ def _deal_anew(strings: DataFrame, width: int, window: int) -> DataFrame:
                         key = mix(np.array([common + np.uint64(m * len(LEVELS) + width)]))[0]
                         name = of_part ^ mix(np.array([far - first + 1], np.uint64))[0]
                     out.append((int(key.view(np.int64)), int(name.view(np.int64)), int(n[k]), last - first + 1, far - first, part, int(g[k]), int(c[k]), first))
-            cols = list(zip(*out)) if out else [[]] * 9
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], ["g", "c", "n", "windows", "anchor", "bytes", "of_g", "of_c", "shift"])
+                    size += len(part) + 400
+                if size >= HANDED_ON:
+                    yield handed_on(out)
+                    out, size = [], 0
+            if out:
+                yield handed_on(out)
+
+    def handed_on(out):
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["g", "c", "n", "windows", "anchor", "bytes", "of_g", "of_c", "shift"])
 
     return strings.select("g", "c", "n", "windows", "anchor", "bytes").mapInArrow(run, "g long, c long, n long, windows int, anchor int, bytes binary, of_g long, of_c long, shift int")
 
@@ -284,8 +293,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, symbol: int = SYMBOL, group_m
     spans = results[0]
     for r in results[1:]:
         spans = spans.unionByName(r)
-    spans = found.select("g", "c", "doc_id", "key", "at").join(stored(spans, "windows"), ["g", "c"])
-    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") - 1).alias("b"))).alias("spans"))
+    # one row a string, so that an occurrence meets one: at most ``window`` runs each, joined where they touch
+    runs = stored(spans.groupBy("g", "c").agg(_joined(F.array_sort(F.collect_list(F.struct("first", "last")))).alias("runs")), "windows")
+    told = found.select("g", "c", "doc_id", "key", "at").join(runs, ["g", "c"])
+    placed = F.transform("runs", lambda r: F.struct((F.col("at") + r["first"]).alias("a"), (F.col("at") + r["last"] - 1).alias("b")))
+    return told.select("doc_id", "key", placed.alias("own")).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("own")).alias("spans"))
+
+
+def _joined(runs: Column) -> Column:
+    """Sorted runs (first, last: the window after) without those that touch."""
+    none = F.array().cast("array<struct<first:int,last:int>>")
+
+    def add(done, r):
+        before = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(before["first"].alias("first"), F.greatest(before["last"], r["last"]).alias("last"))
+        return F.when(before["last"] >= r["first"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(runs, none, add)
 
 
 def drop_repeats(
