@@ -9,6 +9,7 @@ records reaches.  A header quoted in a payload is a candidate, but not reached.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from urllib.parse import quote
@@ -76,9 +77,11 @@ def _archives(rows: DataFrame, archive_bytes: int, marks=None) -> DataFrame:
     return rows.mapInArrow(run, "value binary")
 
 
-def write_warc(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, folder: str | None = None) -> str:
+def write_warc(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, folder: str | None = None, compression: str = "gzip") -> str:
     """Write ``pages`` (page_id, url, html) as WARC files, one archive a file, in ``folder``, a new one in the shared folder if not given; returns it.
 
+    Files are compressed whole; ``compression`` "none" leaves them plain.
+
     Null html is an empty payload, a null url leaves its header out, other columns
     are ignored.  Of equal payloads of at least ``revisit_bytes`` that with the
     largest page_id is a response and the others are revisits; rows that share this
@@ -103,16 +106,21 @@ def write_warc(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, archive_byt
     archives = _archives(alone, archive_bytes, marks).union(_archives(met, archive_bytes))
     # a row a file; what Spark's writer of lines puts behind a row is the end of the archive's last record
     folder = folder or new_path(spark, "warc")
-    archives.select(F.col("value").cast("string")).write.mode("overwrite").option("lineSep", _END.decode()).option("maxRecordsPerFile", 1).text(folder)
+    archives.select(F.col("value").cast("string")).write.mode("overwrite").option("lineSep", _END.decode()).option("maxRecordsPerFile", 1).option("compression", compression).text(folder)
     return folder
 
 
 def open_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of ``folder``, also those of other writers: archive_no (the path) and archive."""
+    """The files of ``folder``, also those of other writers: archive_no (the path) and archive, as it lies there."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(folder)
     return files.select(F.col("path").alias("archive_no"), F.col("content").alias("archive"))
 
 
+def plain(archive: bytes) -> bytes:
+    """An archive's bytes, whether it is compressed (in one member or one a record) or not."""
+    return gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
+
+
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.I)
 
 
@@ -160,7 +168,8 @@ def candidates(archives: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for number, archive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for number, archive in zip(batch.column(0).to_pylist(), batch.column(1)):
+                archive = plain(archive.as_py())
                 found = [c for at in range(0, max(len(archive), 1), CHUNK) for c in candidates_in(archive, at, min(at + CHUNK, len(archive)))]
                 cols = np.asarray(found, np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(cols), pa.string()), *(pa.array(cols[:, k], pa.int64()) for k in range(3))], ["archive_no", "offset", "body", "after"])
@@ -205,8 +214,8 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for archive, offsets, bodies in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = []
+            for archive, offsets, bodies in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                archive, rows = plain(archive.as_py()), []
                 for at, body in zip(offsets, bodies):
                     head = _headers(archive[at : body - 4])
                     block = archive[body : body + int(head["content-length"])]

@@ -219,7 +219,7 @@ def test_warc(spark, size):
 
 def test_warc_keeps_payloads_and_finds_damage(spark):
     pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
-    archives = warc.open_warc(spark, warc.write_warc(pages))
+    archives = warc.open_warc(spark, warc.write_warc(pages, compression="none"))
     payloads = {r.page_id: bytes(r.payload) for r in warc.read_warc(archives).filter("record_type = 'response'").collect()}
     assert payloads[4] == page_rows()[3][2].encode()
     spoilt = archives.selectExpr("archive_no", "cast(replace(cast(archive as string), 'yyyyyyyy', 'yyyyqyyy') as binary) as archive")
@@ -239,9 +239,10 @@ def test_warc_of_long_payloads(spark):
 
 
 def test_warc_files_are_plain(spark):
-    """What other readers open: each file begins with a record and ends with the end of one."""
+    """What other readers open: each file begins with a record and ends with the end of one (Spark may add an empty file)."""
     folder = warc.write_warc(spark.createDataFrame(page_rows(), "page_id long, url string, html string"), archive_bytes=3000)
-    raw = [bytes(r.archive) for r in warc.open_warc(spark, folder).collect()]
+    raw = [warc.plain(bytes(r.archive)) for r in warc.open_warc(spark, folder).collect()]
+    raw = [x for x in raw if x]
     assert len(raw) > 1 and all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in raw)
 
 
