@@ -37,7 +37,8 @@ def parse_slips(slips: DataFrame) -> DataFrame:
     # a label is looked up once, whatever it is then asked for
     plain = lambda label: F.regexp_replace(F.regexp_replace(F.lower(label), r"\s*\(", " ("), r"\s+", " ")
     told = F.transform(F.filter(pairs, lambda p: p.value.isNotNull()), lambda p: F.struct(F.try_element_at(known, plain(p.label)).alias("kind"), p.label.alias("label"), p.value.alias("value")))
-    read = slips.withColumn("_pairs", told)
+    # behind a generator, so that no expression or filter on a field repeats the reading of the text
+    read = slips.withColumn("_pairs", F.explode(F.array(told)))
 
     def field(name: str) -> Column:
         own = F.filter("_pairs", lambda p: p.kind == name)
