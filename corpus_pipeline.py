@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     every column are one; texts without words link with nothing and stay.
     """
     keyed = docs.withColumn("_row", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
-    told = near_texts(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    told = near_texts(keyed.select(F.col("_row").alias("doc_id"), "text"), counted=False).select(F.col("doc_id").alias("_row"), "component_id").distinct()
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     first = keyed.select("doc_id", "_row").join(stored(told, "told"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
     return keyed.join(first.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)

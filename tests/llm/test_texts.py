@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quarry.llm import bpe, bwt, quality, shingle_join, substring, suffix_dedup, token_file, token_output
 from quarry.llm.common import grams, utf8, words
 
@@ -105,6 +106,60 @@ def test_shingle_join(spark, texts, block):
     assert {parts[100 + k] for k in range(12)} == {100} and parts[1] == parts[2] == parts[3] == 1 and parts[9] == 8
 
 
+def edited(base, first, n, width=1):
+    """Texts of ``base``, each with ``width`` own words; the edits of a chain (width > 1) add up."""
+    out, w = [], base.split()
+    for k in range(n):
+        w = w.copy() if width > 1 else base.split()
+        w[k * width * 7 % 190 : k * width * 7 % 190 + width] = [f"q{first + k}x{j}" for j in range(width)]
+        out.append((first + k, " ".join(w), "en", "s", 0))
+    return out
+
+
+@pytest.mark.parametrize("block", [128, 4, 1])
+def test_shingle_join_components_only(spark, texts, block):
+    """Chains, whose ends are no links, and groups of near copies: components are those of all links."""
+    rng = np.random.default_rng(8)
+    rows = [r for r in rows_of() if r[0] is not None and r[0] not in (2, 14)]
+    rows += edited(prose(rng, 200), 100, 40) + edited(prose(rng, 200), 200, 30, 12) + edited(prose(rng, 200), 300, 30, 6)
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    near, parts = linked(rows), list(range(len(rows)))
+    while (less := [min(parts[k] for k in (i, *n)) for i, n in enumerate(near)]) != parts:
+        parts = less
+    least = {p: min(r[0] for r, q in zip(rows, parts) if q == p) for p in set(parts)}
+    want = {r[0]: least[p] for r, p in zip(rows, parts)}
+    got = shingle_join.near_texts(texts(rows), block=block, counted=False).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+    assert all(r.n_links is None for r in got)
+    assert {r.doc_id: r.component_id for r in shingle_join.near_texts(texts(rows), block=block).collect()} == want
+
+
+def test_shingle_join_of_near_copies_grows_with_their_number(spark, texts, monkeypatch):
+    base, grouped = prose(np.random.default_rng(9), 200), shingle_join._grouped
+
+    def met(n):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counting(check, *rest):
+            def run(batches):
+                def told():
+                    for b in batches:
+                        seen.add(b.num_rows)
+                        yield b
+
+                yield from grouped(check, *rest)(told())
+
+            return run
+
+        monkeypatch.setattr(shingle_join, "_grouped", counting)
+        docs = spark.createDataFrame(edited(base, 0, n), "doc_id long, text string, lang string, source string, n_chars long")
+        got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+        assert [r.doc_id for r in got] == [0] and seen.value
+        return seen.value
+
+    assert met(240) < 4 * met(80)
+
+
 def test_shingle_join_without_rows(spark, texts):
     assert shingle_join.near_texts(texts([])).count() == 0
     assert shingle_join.near_texts(texts([(1, None, None, None, None)])).first().kept
