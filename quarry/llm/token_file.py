@@ -74,7 +74,8 @@ class _Model:
         self.lanes, self.high = lanes, _groups(n_ids)
         at = np.arange(lanes, dtype=np.int64)
         self.base1, self.base2 = at << _S1, at << _S2
-        self.id1, self.id2 = np.zeros(lanes << _S1, np.int32), np.zeros(lanes << _S2, np.int32)
+        kind = _kind(n_ids)
+        self.id1, self.id2 = np.zeros(lanes << _S1, kind), np.zeros(lanes << _S2, kind)
         self.sure1, self.sure2 = np.zeros(lanes << _S1, np.int8), np.zeros(lanes << _S2, np.int8)
         # thresholds of the three-way choice by confidence, two for each expert
         first, second = np.full(lanes * 4, _ONE // 8, np.int32), np.full(lanes * 4, _ONE // 4, np.int32)
@@ -207,10 +208,12 @@ def encode_blocks(ids: np.ndarray, cuts: np.ndarray, given: np.ndarray, n_ids: i
     """Payload of each block ids[cuts[i]:cuts[i + 1]] of ranks; ``given``: the counts that it begins with."""
     order, lengths = _by_length(np.diff(cuts))
     lanes, longest = len(order), int(lengths[0]) if len(order) else 0
-    grid = np.zeros((lanes, longest), np.int32)
-    for lane, (block, n) in enumerate(zip(order, lengths)):
-        grid[lane, :n] = ids[cuts[block] : cuts[block] + n]
-    grid = np.ascontiguousarray(grid.T)
+    grid = np.zeros((longest, lanes), np.int32)
+    for at in range(0, lanes, 64):  # a few lanes at a time, for the cache
+        own = np.zeros((min(64, lanes - at), longest), np.int32)
+        for row, (block, n) in zip(own, zip(order[at : at + 64], lengths[at : at + 64])):
+            row[:n] = ids[cuts[block] : cuts[block] + n]
+        grid[:, at : at + 64] = own.T
     model, coder = _Model(given[order], n_ids), _Encoder(lanes, 2 * longest + 4)
     b = a = np.zeros(lanes, np.int64)
     for step in range(longest):
@@ -263,7 +266,7 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, given: np.ndarray,
     words = np.frombuffer(b"".join(p + bytes(8) for p in parts), "<u4").astype(np.uint64)
     grid = np.zeros((longest, lanes), np.int32)
     if not lanes:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     model, coder = _Model(given[order], n_ids), _Decoder(words, starts)
     b = a = np.zeros(lanes, np.int64)
     for step in range(longest):
@@ -292,10 +295,13 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, given: np.ndarray,
         model.turn(step)
         grid[step, :n] = x
         a, b = b, x
-    place = np.empty(lanes, np.int64)
-    place[order] = np.arange(lanes)
-    grid = np.ascontiguousarray(grid.T)
-    return np.concatenate([grid[place[i], :n] for i, n in enumerate(lengths)])
+    ends = np.cumsum(np.asarray(lengths, np.int64))
+    out = np.empty(int(ends[-1]), np.int32)
+    for at in range(0, lanes, 64):
+        own = np.ascontiguousarray(grid[:, at : at + 64].T)
+        for row, block, n in zip(own, order[at : at + 64], sizes[at : at + 64]):
+            out[ends[block] - n : ends[block]] = row[:n]
+    return out
 
 
 def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,14 +310,14 @@ def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(kinds), np.int64)
     rank[order] = np.arange(len(kinds))
-    return kinds[order], np.minimum(np.rint(8 * np.log2(n[order])), 255).astype(np.uint8), rank[back]
+    return kinds[order], np.minimum(np.rint(8 * np.log2(n[order])), 255).astype(np.uint8), rank.astype(np.int32)[back]
 
 
 def write_frames(frames: list[tuple[list[int | None], list[np.ndarray]]], n_ids: int, block: int = BLOCK) -> list[bytes]:
     """Encode frames together, so that many blocks share the numpy calls."""
     if _GIVEN + 512 + block * _ADDED > 0xFFFF:
         raise ValueError("a block of so many ids would overflow its counts")
-    streams = [np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64) for _, docs in frames]
+    streams = [np.concatenate([np.zeros(0, np.int32), *docs], dtype=np.int32, casting="unsafe") for _, docs in frames]
     told = [_ranked(s) for s in streams]
     cuts, at, spans = [0], 0, []
     for s in streams:
@@ -319,11 +325,12 @@ def write_frames(frames: list[tuple[list[int | None], list[np.ndarray]]], n_ids:
         spans.append((len(cuts) - 1, len(edges)))
         cuts += [at + e for e in edges]
         at += len(s)
-    ids, cuts = np.concatenate([np.zeros(0, np.int64), *streams]), np.asarray(cuts, np.int64)
+    cuts = np.asarray(cuts, np.int64)
     given = np.repeat(np.array([given_counts(t[1], n_ids) for t in told]), [n for _, n in spans], axis=0) if frames else np.zeros((0, 0), np.uint16)
-    payloads = encode_blocks(np.concatenate([np.zeros(0, np.int64), *(t[2] for t in told)]), cuts, given, n_ids)
+    ranks, told = np.concatenate([np.zeros(0, np.int32), *(t[2] for t in told)]), [t[:2] for t in told]
+    payloads = encode_blocks(ranks, cuts, given, n_ids)
     out = []
-    for (doc_ids, docs), (kinds, sizes, _), (first, n) in zip(frames, told, spans):
+    for (doc_ids, docs), ids, (kinds, sizes), (first, n) in zip(frames, streams, told, spans):
         index = np.zeros(len(docs), _INDEX)
         index["id"] = [0 if i is None else i for i in doc_ids]
         index["has"] = [i is not None for i in doc_ids]
@@ -331,7 +338,7 @@ def write_frames(frames: list[tuple[list[int | None], list[np.ndarray]]], n_ids:
         raw = index.tobytes() + kinds.astype(_kind(n_ids)).tobytes() + sizes.tobytes()
         parts = [_HEAD.pack(MAGIC, n_ids, len(docs), n, len(kinds), zlib.crc32(raw)), raw]
         for k in range(first, first + n):
-            own = ids[cuts[k] : cuts[k + 1]].astype("<u4").tobytes()
+            own = ids[cuts[k] - cuts[first] : cuts[k + 1] - cuts[first]].astype("<u4").tobytes()
             parts += [_BLOCK_HEAD.pack(len(own) // 4, len(payloads[k]), zlib.crc32(own), zlib.crc32(payloads[k])), payloads[k]]
         out.append(b"".join(parts))
     return out
@@ -372,7 +379,7 @@ def read_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     for f in frames:
         index = frame_index(f)
         n_ids, n_docs, n_blocks, n_kinds, at = _tables(f)
-        kinds = np.frombuffer(f, _kind(n_ids), n_kinds, _HEAD.size + n_docs * _INDEX.itemsize).astype(np.int64)
+        kinds = np.frombuffer(f, _kind(n_ids), n_kinds, _HEAD.size + n_docs * _INDEX.itemsize).astype(np.int32 if n_ids <= 1 << 31 else np.int64)
         given += [given_counts(np.frombuffer(f, np.uint8, n_kinds, at - n_kinds), n_ids)] * n_blocks
         for _ in range(n_blocks):
             n, size, crc_ids, crc_payload = _BLOCK_HEAD.unpack_from(f, at)

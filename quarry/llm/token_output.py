@@ -19,7 +19,7 @@ from .token_file import frame_index, frame_size, read_frames, write_frames
 FILE_CHARS, LEAST_CHARS = 32 << 20, 1 << 20
 #: Ids of a frame (a frame ends with the document that reaches it) and of the frames coded together.
 FRAME_IDS = 1 << 19
-TOGETHER_IDS = 6 << 20
+TOGETHER_IDS = 4 << 20
 #: Words that a worker keeps encoded.
 CACHE_WORDS = 1 << 18
 #: Words given to the tokenizer at a time; its results take far more memory than their ids.
@@ -109,7 +109,10 @@ def _write(path: str, end_id: int, n_ids: int):
         encoder, frames, docs, names, size, pending = WordEncoder(path), [], [], [], 0, 0
 
         def coded():
-            return pa.RecordBatch.from_arrays([pa.array(write_frames(frames, n_ids), pa.binary())], ["value"])
+            return_memory()
+            value = pa.array(write_frames(frames, n_ids), pa.binary())
+            frames.clear()
+            return pa.RecordBatch.from_arrays([value], ["value"])
 
         for batch in batches:
             ids, off = encoder.encode(batch.column(1))
@@ -122,11 +125,14 @@ def _write(path: str, end_id: int, n_ids: int):
                     pending, names, docs, size = pending + size, [], [], 0
                     if pending >= TOGETHER_IDS:
                         yield coded()
-                        pending, frames = 0, []
+                        pending = 0
         if names:
             frames.append((names, docs))
         if frames:
             yield coded()
+        # the worker lives on, beside others
+        del encoder, frames, docs
+        return_memory()
 
     return run
 
@@ -192,6 +198,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for start, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for frames in _together(raw):
+                    return_memory()
                     for index, ids in read_frames(frames):
                         off = np.concatenate([[0], np.cumsum(index["n"], dtype=np.int64)])
                         data = ids.astype("<u4").tobytes()
@@ -207,6 +214,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                         )
                         start += int(off[-1])
+        return_memory()
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 

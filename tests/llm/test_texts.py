@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -314,6 +315,25 @@ def test_ids_of_text_take_less_room_than_a_general_compressor_needs():
         token_file.write_frames([([1], [ids[:5]])], 49408, block=1 << 20)
 
 
+def test_token_frames_coded_together_fit_beside_a_tokenizer():
+    """What a worker holds while it codes as many ids as go together: two workers share an executor of 3000 MB with its heap."""
+    rng = np.random.default_rng(6)
+    frames = [([k], [np.minimum(rng.zipf(1.3, token_output.FRAME_IDS), 49407).astype(np.int32)]) for k in range(2)]
+    tracemalloc.start()
+    try:
+        written = token_file.write_frames(frames, 49408)
+        writing = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        told = token_file.read_frames(written)
+        reading = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert all((ids == docs[0]).all() for (_, ids), (_, docs) in zip(told, frames))
+    share = token_output.TOGETHER_IDS / (2 * token_output.FRAME_IDS)
+    assert writing * share < 250e6 and reading * share < 250e6
+
+
 def test_token_output(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = rows_of()
