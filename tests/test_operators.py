@@ -278,3 +278,29 @@ def test_streaming(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("screened").first().text == "SYSTEM: mail <EMAIL_ADDRESS>"
+
+
+def test_embedding_hashes_a_word_once(spark):
+    import hashlib
+    import time
+
+    text = " ".join(f"w{i * i % 977}" for i in range(20_000))
+    rows = spark.createDataFrame([(text,)] * 12 + [("One, two TWO",), ("",), (None,)], "text string").repartition(4).cache()
+    assert rows.count() == 15
+
+    def took(dim):
+        began = time.time()
+        got = rows.select("text", models.hashed_embedding(F.col("text"), dim).alias("e")).collect()
+        return got, time.time() - began
+
+    def places(t, dim):
+        want = [0.0] * dim
+        for w in chunks.re.findall("[a-z0-9]+", (t or "").lower()):
+            want[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dim] += 1
+        return want
+
+    for dim in (1, 2, 64, 300):
+        assert all(r.e == places(r.text, dim) for r in took(dim)[0])
+    few, many = (min(took(dim)[1] for _ in range(2)) for dim in (2, 64))
+    assert many < 6 * few + 1  # not once a place
+    rows.unpersist()
