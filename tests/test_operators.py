@@ -304,3 +304,66 @@ def test_embedding_hashes_a_word_once(spark):
     few, many = (min(took(dim)[1] for _ in range(2)) for dim in (2, 64))
     assert many < 6 * few + 1  # not once a place
     rows.unpersist()
+
+
+def repeated_corpus(spark):
+    """Chunks with ties, copies of one row, and rows of one chunk that are not equally long."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(4000)]
+    rows = [(f"c{i}", " ".join(rng.sample(words, rng.randint(0, 12))), i) for i in range(150)]
+    rows += [(f"d{i}", rows[3][1], 200 + i) for i in range(80)]  # one text
+    rows += [rows[7], rows[7], ("c9", "w1 w2 w2", 9), ("c9", "w3 " * 30, 9), ("none", None, 400), ("null", "w1", None)]
+    return rows, spark.createDataFrame(rows, "chunk_id string, text string, chunk_ord long").repartition(3)
+
+
+def test_postings_are_counted_in_their_row(spark):
+    rows, df = repeated_corpus(spark)
+    want = {}
+    for c, t, o in rows:
+        toks = (t or "").split()
+        for w in toks:
+            key = (w, c, o, len(toks))
+            want[key] = want.get(key, 0) + 1
+    assert {(r.tok, r.chunk_id, r.chunk_ord, r.dl): r.tf for r in index.lexical_index(df).postings.collect()} == want
+    once = index.lexical_index(corpus(spark)).postings
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_is_whole_on_copies_and_ties(spark):
+    import math
+
+    rows, df = repeated_corpus(spark)
+    asked = {1: "w1 w2 w1", 2: "w5", 3: "w40 w3", 4: "unheard of", None: "w2"}
+    lens, post = [len((t or "").split()) for _, t, _ in rows], {}
+    for (c, t, o), dl in zip(rows, lens):
+        for w in (t or "").split():
+            post.setdefault(w, {}).setdefault((c, o, dl), 0)
+            post[w][c, o, dl] += 1
+    raw = {w: math.log(len(rows) - len(p) + 0.5) - math.log(len(p) + 0.5) for w, p in post.items()}
+    idf = {w: r if r >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, r in raw.items()}
+    avgdl, last = sum(lens) / len(rows), 1 << 40
+    got = {}
+    for r in retrieval.bm25_topk(spark.createDataFrame(list(asked.items()), "qid long, question string"), index.lexical_index(df), 20).orderBy("rank").collect():
+        got.setdefault(r.qid, []).append((r.chunk_id, round(r.score, 5)))
+    for qid, question in asked.items():
+        scores = {(c, o): 0.0 for c, _, o in rows}
+        for w in chunks.re.findall("[a-z0-9]+", question):
+            for (c, o, dl), tf in post.get(w, {}).items():
+                scores[c, o] += idf[w] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
+        best = sorted(scores.items(), key=lambda x: (-round(x[1], 6), last if x[0][1] is None else x[0][1]))[:20]
+        assert [c for c, _ in got[qid]] == [c for (c, _), _ in best]
+        assert all(abs(a - b) < 2e-5 for (_, a), (_, b) in zip(got[qid], best))
+
+
+def test_a_task_hands_on_its_best_alone():
+    import numpy as np
+    import pyarrow as pa
+
+    words = pa.table({"qid": [1, 2], "tok": ["a", "b"], "weight": [1.0, 2.0]})
+    lists = [[{"tok": "a", "tf": 1 + i % 7}, {"tok": "b", "tf": 1}] for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"c{i}" for i in range(3000)]), pa.array(range(3000), pa.int64()), pa.array([10] * 3000, pa.int32()), pa.array([False] * 3000), pa.array(lists, pa.list_(pa.struct({"tok": pa.string(), "tf": pa.int64()})))], ["chunk_id", "chunk_ord", "dl", "shared", "words"])
+    out = pa.Table.from_batches(retrieval._scorer(words, 10.0, [], 5)([batch.slice(0, 900), batch.slice(900)]))
+    assert out.num_rows == 10
+    assert sorted(np.asarray(out["chunk_ord"])) == [0, 1, 2, 3, 4, 6, 13, 20, 27, 34]
