@@ -367,3 +367,25 @@ def test_a_task_hands_on_its_best_alone():
     out = pa.Table.from_batches(retrieval._scorer(words, 10.0, [], 5)([batch.slice(0, 900), batch.slice(900)]))
     assert out.num_rows == 10
     assert sorted(np.asarray(out["chunk_ord"])) == [0, 1, 2, 3, 4, 6, 13, 20, 27, 34]
+
+
+def test_dense_is_exact_with_ties_copies_and_odd_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (6000, 4)).astype(np.float32) / 4  # many ties
+    x[100:400] = x[5]
+    x[1000:] += rng.normal(0, 1e-4, (5000, 4)).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (7000, None), (7001, [0.0, None, 0.0, 0.0]), (7002, [float("nan")] * 4)], "vec_id long, embedding array<float>").repartition(7)
+    asked = spark.createDataFrame([*[(i, v) for i, v in rows[::40]], (-1, None)], "qid long, query array<float>")
+    got = {}
+    for r in retrieval.dense_topk(asked, df, 20, 64).orderBy("rank").collect():
+        got.setdefault(r.qid, []).append((r.vec_id, r.distance))
+    for qid, v in rows[::40]:
+        d = np.round(((x.astype(np.float64) - np.asarray(v)) ** 2).sum(1), 6)
+        best = np.lexsort((np.arange(len(x)), d))[:20]
+        assert [i for i, _ in got[qid]] == list(best)
+    assert len(got[-1]) == 20 and all(d is None for _, d in got[-1])
+    few = retrieval.dense_topk(asked.limit(1), df.filter("vec_id < 2 or vec_id >= 7000"), 20).orderBy("rank").collect()
+    assert [r.vec_id for r in few] == [0, 1, 7002, 7000, 7001]  # not a number, then null
